@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filedeck.llm import near_duplicates
+from filedeck.llm import leakage, near_duplicates, nearest, repeated_lines, splitting
 from filedeck.session import table
 
 
@@ -20,8 +20,67 @@ def p1_links(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.links(*near_duplicates.similar_pairs(table(spark, d, "chunks").select("id", "text")))
 
 
+def _by_filing(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "chunks").select("id", F.col("rcept_no").alias("source"), "text")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every place of the lines repeated excessively in a filing."""
+    return repeated_lines.repeated(_by_filing(spark, d)).select("id", "line_no")
+
+
+def p2_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Every chunk text without those lines."""
+    texts = _by_filing(spark, d)
+    return repeated_lines.cleaned(texts, repeated_lines.repeated(texts)).withColumnRenamed("source", "rcept_no")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of chunks with a cosine of at least 0.85, one among the ten nearest of the other."""
+    return nearest.similar_pairs(table(spark, d, "chunks").select("id", "embedding"), 0.85).select("id_a", "id_b")
+
+
+def p3_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Ten near chunks of every usable chunk with their cosine."""
+    near = nearest.near_ids(table(spark, d, "chunks").select("id", "embedding"))
+    return near.select("id", "near_id", F.round("cosine", 5).alias("cosine"), "rank")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks that had to be cut."""
+    return p4_pieces(spark, d).filter("piece_no = 1").select("id")
+
+
+def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of every chunk above its limit."""
+    return splitting.pieces(table(spark, d, "chunks").select("id", "section_path", "chunk_type", "text"))
+
+
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    items = table(spark, d, "eval_items").select(F.col("item_id").alias("id"), "passage")
+    return leakage.leaks(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), items)
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and the evaluation items they hold at least 60 letters or digits of."""
+    return _leaks(spark, d).select("doc_id", "item_id")
+
+
+def p7_matches(spark: SparkSession, d: str) -> DataFrame:
+    """The longest match of each leaked item in each document, with its places."""
+    return _leaks(spark, d)
+
+
+def p7_clean(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that hold nothing of the evaluation items."""
+    return leakage.without_leaks(table(spark, d, "documents"), _leaks(spark, d)).select("doc_id", "lang", "source")
+
+
+NAMES = (p1_found, p1_links, p2_found, p2_clean, p3_found, p3_topk, p4_found, p4_pieces, p7_found, p7_matches, p7_clean)
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_links": p1_links}
+    return {f.__name__: f for f in NAMES}
 
 
 def oracle_sql() -> dict[str, str]:
