@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filedeck.llm import leakage, near_duplicates, nearest, repeated_lines, splitting
+from filedeck.llm import languages, leakage, near_duplicates, nearest, repeated_lines, splitting
 from filedeck.session import table
 
 
@@ -76,7 +76,32 @@ def p7_clean(spark: SparkSession, d: str) -> DataFrame:
     return leakage.without_leaks(table(spark, d, "documents"), _leaks(spark, d)).select("doc_id", "lang", "source")
 
 
-NAMES = (p1_found, p1_links, p2_found, p2_clean, p3_found, p3_topk, p4_found, p4_pieces, p7_found, p7_matches, p7_clean)
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("label"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Each language of the documents in several languages or with a label that is not their one language."""
+    documents = _documents(spark, d)
+    rows = languages.wrong_labels(documents, languages.train(documents))
+    return rows.select(F.col("id").alias("doc_id"), "lang")
+
+
+def p8_languages(spark: SparkSession, d: str) -> DataFrame:
+    """The languages of every document with their share of its letters and a confidence."""
+    documents = _documents(spark, d)
+    rows = languages.document_languages(documents, languages.train(documents))
+    return rows.select(F.col("id").alias("doc_id"), "label", "lang", F.round("share", 4).alias("share"), F.round("confidence", 4).alias("confidence"))
+
+
+def p8_stretches(spark: SparkSession, d: str) -> DataFrame:
+    """Every stretch in one language of every document."""
+    documents = _documents(spark, d)
+    rows = languages.stretches(documents, languages.train(documents))
+    return rows.withColumnRenamed("id", "doc_id").withColumn("confidence", F.round("confidence", 4))
+
+
+NAMES = (p1_found, p1_links, p2_found, p2_clean, p3_found, p3_topk, p4_found, p4_pieces, p7_found, p7_matches, p7_clean, p8_found, p8_languages, p8_stretches)
 
 
 def queries() -> dict:
