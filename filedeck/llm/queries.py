@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filedeck.llm import languages, leakage, near_duplicates, nearest, repeated_lines, splitting
+from filedeck.llm import languages, leakage, near_duplicates, nearest, packing, pairs, repeated_lines, splitting
 from filedeck.session import table
 
 
@@ -56,6 +56,32 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.pieces(table(spark, d, "chunks").select("id", "section_path", "chunk_type", "text"))
 
 
+def _defects(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.defects(table(spark, d, "baseline_items").select(F.col("item_id").alias("id"), "question", "answer"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Defective question and answer records with the kind of defect."""
+    return _defects(spark, d).select(F.col("id").alias("item_id"), "defect")
+
+
+def p5_defects(spark: SparkSession, d: str) -> DataFrame:
+    """Every record with its defect, if any, and what the record's own flag says."""
+    items = table(spark, d, "baseline_items").select("item_id", "correct")
+    found = _defects(spark, d).select(F.col("id").alias("item_id"), "defect", F.round("copied", 4).alias("copied"))
+    return items.join(found, "item_id", "left")
+
+
+def p6_pack(spark: SparkSession, d: str) -> DataFrame:
+    """Every document, or piece of a longer one, with its container of 2,048 tokens."""
+    return packing.packed(table(spark, d, "documents").select("doc_id", "n_tokens", "text"))
+
+
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    """The containers with their items and unused tokens."""
+    return packing.containers(p6_pack(spark, d))
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "eval_items").select(F.col("item_id").alias("id"), "passage")
     return leakage.leaks(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), items)
@@ -101,7 +127,7 @@ def p8_stretches(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumnRenamed("id", "doc_id").withColumn("confidence", F.round("confidence", 4))
 
 
-NAMES = (p1_found, p1_links, p2_found, p2_clean, p3_found, p3_topk, p4_found, p4_pieces, p7_found, p7_matches, p7_clean, p8_found, p8_languages, p8_stretches)
+NAMES = (p1_found, p1_links, p2_found, p2_clean, p3_found, p3_topk, p4_found, p4_pieces, p5_found, p5_defects, p6_pack, p6_containers, p7_found, p7_matches, p7_clean, p8_found, p8_languages, p8_stretches)
 
 
 def queries() -> dict:
