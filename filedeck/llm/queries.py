@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filedeck.llm import languages, leakage, near_duplicates, nearest, packing, pairs, repeated_lines, splitting
+from filedeck.llm import languages, leakage, near_duplicates, nearest, packing, pairs, repeated_lines, splitting, sql
 from filedeck.session import table
 
 
@@ -135,4 +135,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.ORACLES)
