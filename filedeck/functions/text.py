@@ -34,7 +34,8 @@ def tokens(text: Column) -> Column:
 def strip_particle(token: Column) -> Column:
     """Without its longest particle that leaves at least two characters; one particle at most."""
     ends = "|".join(sorted(PARTICLES, key=len, reverse=True))
-    return F.regexp_replace(token, f"^(.{{2,}}?)(?:{ends})$", "$1")
+    ends_in_hangul = F.substring(token, -1, 1) >= "가"  # spares numbers and Latin words the pattern
+    return F.when(ends_in_hangul, F.regexp_replace(token, f"^(.{{2,}}?)(?:{ends})$", "$1")).otherwise(token)
 
 
 def terms(text: Column) -> Column:

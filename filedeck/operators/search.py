@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from filedeck.functions.text import PARTICLES, TOKEN, strip_particle, tokens
 from filedeck.functions.vectors import cosine, usable
+from filedeck.session import small
 
 RRF_K = 60
 DENSE_WEIGHT, SPARSE_WEIGHT = 0.7, 0.3
@@ -105,9 +106,11 @@ def sparse(queries: DataFrame, corpus: DataFrame, k: int = CANDIDATES, by: str |
 
 
 def token_rows(texts: DataFrame, *keep: str) -> DataFrame:
-    """texts (id, text) -> (id, token), tokens without particles, repeats kept."""
-    rows = texts.select("id", *keep, F.explode(tokens(F.coalesce("text", F.lit("")))).alias("token"))
-    return rows.withColumn("token", strip_particle(F.col("token")))
+    """texts (id, text) -> (id, len, token): a row for each token, without its particle; len counts the text's tokens."""
+    split = texts.select("id", *keep, tokens(F.coalesce("text", F.lit(""))).alias("t"))
+    rows = split.select("id", *keep, F.size("t").alias("len"), F.explode_outer("t").alias("token"))
+    # explode_outer: for explode Spark would split every text twice, first to drop those without a token
+    return rows.filter("token is not null").withColumn("token", strip_particle(F.col("token")))
 
 
 def corpus_size(texts: DataFrame) -> DataFrame:
@@ -116,9 +119,9 @@ def corpus_size(texts: DataFrame) -> DataFrame:
 
 
 def document_frequency(texts: DataFrame) -> DataFrame:
-    """(token, df), counted before the shuffle as far as each task goes."""
-    once = texts.select(F.explode(F.array_distinct(F.transform(tokens(F.coalesce("text", F.lit(""))), strip_particle))).alias("token"))
-    return once.groupBy("token").agg(F.count("*").alias("df"))
+    """(token, df), counted before the shuffle as far as each task goes: a text's repeats fall out in its row."""
+    once = texts.select(F.explode_outer(F.array_distinct(F.transform(F.array_distinct(tokens(F.coalesce("text", F.lit("")))), strip_particle))).alias("token"))
+    return once.filter("token is not null").groupBy("token").agg(F.count("*").alias("df"))
 
 
 def idf(texts: DataFrame) -> DataFrame:
@@ -136,11 +139,10 @@ def bm25(queries: DataFrame, texts: DataFrame, k: int = CANDIDATES, by: str | No
     any query token score 0 and fill the list up to k, smallest ids first."""
     keep = [by] if by else []
     q = token_rows(queries.withColumnRenamed("query_id", "id"), *keep).groupBy("id", *keep, "token").agg(F.count("*").alias("times"))
-    asked = q.select("token").distinct()
-    length = texts.select("id", F.size(tokens(F.coalesce("text", F.lit("")))).alias("len"))
-    tf = token_rows(texts, *keep).join(asked, "token", "left_semi").groupBy("id", *keep, "token").agg(F.count("*").alias("tf"))
+    asked = small(q.select("token").distinct())
+    tf = token_rows(texts, *keep).join(asked, "token", "left_semi").groupBy("id", *keep, "len", "token").agg(F.count("*").alias("tf"))
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    weighted = tf.join(idf(texts), "token").join(length, "id").crossJoin(F.broadcast(corpus_size(texts))).select("id", *keep, "token", weight.alias("w"))
+    weighted = tf.join(idf(texts), "token").crossJoin(F.broadcast(corpus_size(texts))).select("id", *keep, "token", weight.alias("w"))  # one row
     met = q.withColumnRenamed("id", "query_id").join(weighted, ["token", *keep])
     scored = met.groupBy("query_id", "id").agg(F.sum(F.col("w") * F.col("times")).alias("score"))
     fill = _fill(queries, texts, k, by)

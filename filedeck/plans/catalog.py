@@ -47,7 +47,7 @@ def unmatched_companies(spark: SparkSession, d: str) -> DataFrame:
 
 
 def modified_dates(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "companies").select("corp_code", F.try_to_date("modify_date", "yyyyMMdd").alias("modified_on"))
+    return table(spark, d, "companies").select("corp_code", F.try_to_date("modify_date", "yyyyMMdd").cast("string").alias("modified_on"))
 
 
 def annual_reports(spark: SparkSession, d: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filedeck.operators import entities
-from filedeck.session import table
+from filedeck.session import small, table
 
 
 def filings(spark: SparkSession, d: str) -> DataFrame:
@@ -22,7 +22,7 @@ def chunks(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     rows = table(spark, d, "chunks")
     kept = entities.first_loaded(rows.select("id", "rcept_no", "section_path", "chunk_index", *columns))
     own = filings(spark, d).join(companies(spark, d).select("corp_code", "corp_name"), "corp_code").select("rcept_no", "corp_name", "report_nm")
-    return kept.join(own, "rcept_no")
+    return kept.join(small(own), "rcept_no")
 
 
 def golden(spark: SparkSession, d: str) -> DataFrame:

@@ -101,7 +101,7 @@ ORACLES = {
     "find_companies_literal": f"WITH {COMP} SELECT corp_code, corp_name, stock_code FROM comp WHERE contains(corp_name, '전자')",
     "resolved_companies": f"WITH {COMP}, {BEST} SELECT corp_name, position, corp_code, stock_code, modify_date FROM (SELECT corp_name, min(golden_id) AS position FROM golden GROUP BY 1) JOIN best USING (corp_name)",
     "unmatched_companies": f"WITH {COMP} SELECT DISTINCT corp_name FROM companies c WHERE NOT EXISTS (SELECT 1 FROM comp WHERE comp.corp_name = c.corp_name)",
-    "modified_dates": "SELECT corp_code, CAST(try_strptime(modify_date, '%Y%m%d') AS DATE) AS modified_on FROM companies",
+    "modified_dates": "SELECT corp_code, CAST(CAST(try_strptime(modify_date, '%Y%m%d') AS DATE) AS VARCHAR) AS modified_on FROM companies",
     "annual_reports": f"WITH {FIL}, {ANN} SELECT rcept_no, corp_code, report_nm, rcept_dt FROM ann",
     "latest_annual_report": f"WITH {FIL}, {ANN} SELECT corp_code, rcept_no, report_nm, rcept_dt FROM ann QUALIFY row_number() OVER (PARTITION BY corp_code ORDER BY rcept_dt DESC NULLS LAST, rcept_no DESC) = 1",
     "last_values": f"""WITH {FIL}, f AS (SELECT * FROM fil WHERE rcept_dt IS NOT NULL),

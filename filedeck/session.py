@@ -7,6 +7,10 @@ import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Tables whose rows are worked on one by one.
+LARGE = ("chunks", "documents")
 
 
 def local_session(cores: int | str = "*", shuffle: int = 8, memory: str = "8g") -> SparkSession:
@@ -44,5 +48,13 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver test table."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver test table. One that comes in fewer splits than there are cores, as small single files do, is
+    spread over them; filters and column choices still reach the scan."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in LARGE and df.rdd.getNumPartitions() < cores else df
+
+
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df marked for broadcast if it has at most `most` rows, which is counted; else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
