@@ -162,7 +162,7 @@ ORACLES = {
     "valid_requests": rf"SELECT item_id, coalesce(length(answer) BETWEEN 1 AND 500 AND regexp_matches(answer, '[^\s\x{{00A0}}\x{{3000}}]') AND item_id % 25 BETWEEN 1 AND 20, false) AS valid FROM baseline_items",
     "grounded_answers": rf"""WITH {ANSWERS}, n AS (SELECT item_id, regexp_extract_all(coalesce(answer, ''), '[\d,]{{4,}}') AS found, coalesce(text, '') AS t FROM ans JOIN chunks ON id = expected_chunk_id)
         SELECT item_id, len(found) = 0 OR len(list_filter(found, lambda x: contains(t, x))) > 0 AS grounded FROM n""",
-    "answer_accuracy": f"WITH {ANSWERS} SELECT coalesce(metric, 'all') AS metric, count(*) AS n, round(avg(CASE WHEN coalesce(contains(answer, expected_value), false) THEN 1 ELSE 0 END), 6) AS accuracy FROM ans GROUP BY ROLLUP (metric)",
+    "answer_accuracy": f"WITH {ANSWERS} SELECT coalesce(metric, 'all') AS metric, count(*) AS n, round(avg(CASE WHEN coalesce(contains(answer, expected_value), false) THEN 1 ELSE 0 END), 6) AS accuracy FROM ans GROUP BY ROLLUP (metric) HAVING count(*) > 0",
     "retrieval_quality": f"""WITH {CH}, {GOLD}, {bm25(PLAIN, "p")}, {bm25(CRUMBS, "b")},
         bm25_top AS (SELECT * FROM p WHERE rank <= 10), bm25_breadcrumb_top AS (SELECT * FROM b WHERE rank <= 10),
         rrf_top AS ({top("(SELECT query_id, id, round(sum(1 / (60 + rank)), 6) AS score FROM (SELECT * FROM p UNION ALL SELECT * FROM b) GROUP BY 1, 2)", 10)}),
