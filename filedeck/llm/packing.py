@@ -65,7 +65,7 @@ def linear_program(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds:
     covered = np.zeros(len(sizes))
     step = (sizes * counts).sum() / capacity / rounds
     for _ in range(-(-rounds // PRICED)):
-        for a in knapsacks(sizes, _varied(sizes * np.exp(-4 * covered / counts), rng), capacity):
+        for a in knapsacks(sizes, _varied(sizes * (1 + sizes / capacity) * np.exp(-4 * covered / counts), rng), capacity):
             at = np.flatnonzero(a)
             amount = min(step * 4, (counts[at] / a[at]).min())
             key = tuple(zip(at.tolist(), a[at].tolist()))
@@ -94,7 +94,7 @@ def fill(sizes: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY, rounds
         open_ = np.flatnonzero(left)
         s = sizes[open_]
         # Longer and more plentiful items first; the slack that a used-up length leaves is filled again.
-        values = s * (1 + 0.1 * s / capacity + 0.02 * left[open_] / left.max())
+        values = s * (1 + s / capacity + 0.02 * left[open_] / left.max())
         poor, progress = [], len(out)
         for a in knapsacks(s, _varied(values, rng), capacity):
             n = left[open_]
@@ -116,7 +116,7 @@ def fill(sizes: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY, rounds
                 poor.append((room, open_[at], a[at]))
         if poor and progress == len(out):
             _, at, a = min(poor, key=lambda p: p[0])
-            take(at, a, 1)
+            take(at, a, max(1, int((left[at] // a).min()) // 2))
     return out
 
 

@@ -133,12 +133,12 @@ def is_truncated(answer: str) -> bool:
     line = text.split("\n")[-1].strip()
     sentence = re.split(r"(?<=[.!?。])\s+", line)[-1]
     if STOP.search(text):
-        return bool(re.search(r"[가-힣].*[\s(]\d+\.$", sentence))  # a decimal point
+        return bool(re.search(r"[\s(]\d+\.$", sentence) and re.search("[가-힣]", sentence))  # a decimal point
     if BARE.match(line) or FINAL.search(text):
         return False
     if GOING_ON.search(sentence) or re.search(r"\d$", text):
         return not re.fullmatch(rf"[^:]*:\s*{NUMBER}", sentence)
-    return not (VALUE_END.search(sentence) or re.search(r"[:：].*\S[)）]$", line))
+    return not (VALUE_END.search(sentence) or line.endswith((")", "）")) and re.search("[:：]", line))
 
 
 def votes(text: str, question: str) -> dict[str, int]:
