@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from filedeck.functions.tables import reformat_table
-from filedeck.functions.text import path_text, statement_basis
+from filedeck.functions.text import METRICS, grounded, path_text, statement_basis, value_of
 
 TURNS = 2
 # Bounds of a request, and the sentence for "not found".
@@ -46,6 +46,23 @@ def valid_request(question: Column, top_k: Column) -> Column:
     return F.coalesce(F.length(question).between(1, QUESTION_CHARS) & question.rlike(r"(?U)\S") & top_k.between(1, TOP_MOST), F.lit(False))
 
 
+def extracted_answer(context: Column, metric: Column) -> Column:
+    """A stand-in for a reader model: the first value of the metric in the context's tables, else the sentence for "not found"."""
+    found = F.lit(None).cast("string")
+    for m, negative in METRICS.items():
+        found = F.when(metric == m, value_of(context, m, negative)).otherwise(found)
+    return F.coalesce(found, F.lit(NOT_FOUND))
+
+
+def verified(answers: DataFrame, again) -> DataFrame:
+    """answers (query_id, question, context, answer): those whose numbers the context lacks are made once more by
+    again(DataFrame) -> DataFrame of the same columns; an answer that still is not grounded becomes "not found"."""
+    sure = grounded(F.col("answer"), F.col("context"))
+    retried = again(answers.filter(~sure))
+    kept = retried.withColumn("answer", F.when(sure, F.col("answer")).otherwise(NOT_FOUND))
+    return answers.filter(sure).unionByName(kept)
+
+
 def messages(system: str, context: Column, question: Column) -> Column:
     """A prompt as an array of role and content."""
     user = F.concat(F.lit("자료:\n"), context, F.lit("\n\n질문: "), question)

@@ -79,9 +79,13 @@ def dense(queries: DataFrame, corpus: DataFrame, k: int = CANDIDATES) -> DataFra
 
 def dense_filtered(queries: DataFrame, corpus: DataFrame, by: str, k: int = CANDIDATES) -> DataFrame:
     """As dense, among the corpus rows with the query's value of `by`; the filter comes before the cut."""
+    return ranked(_within(queries, corpus, by), k)
+
+
+def _within(queries: DataFrame, corpus: DataFrame, by: str) -> DataFrame:
     q = queries.filter(usable(F.col("embedding"))).select("query_id", by, F.col("embedding").alias("q"))
     c = corpus.filter(usable(F.col("embedding"))).select("id", by, F.col("embedding").alias("v"))
-    return ranked(q.join(c, by).select("query_id", "id", cosine(F.col("q"), F.col("v")).alias("score")), k)
+    return q.join(c, by).select("query_id", "id", cosine(F.col("q"), F.col("v")).alias("score"))
 
 
 # Sparse
@@ -209,6 +213,16 @@ def hybrid(dense_list: DataFrame, sparse_list: DataFrame, k: int = TOP) -> DataF
     return weighted([dense_list, sparse_list], [DENSE_WEIGHT, SPARSE_WEIGHT], k)
 
 
+def hybrid_within(queries: DataFrame, corpus: DataFrame, by: str, k: int = TOP) -> DataFrame:
+    """Fusion over all rows with the query's value of `by`, without a candidate cut: rows without a common token
+    have a sparse score of 0, and scores are scaled over all of them. Rows without a usable vector take no part."""
+    both = _within(queries, corpus, by).select("query_id", "id", F.round("score", 6).alias("score"))
+    q = postings(queries.withColumnRenamed("query_id", "id"), by).select(by, "token", F.col("id").alias("query_id"), F.col("weight").alias("q"))
+    met = q.join(postings(corpus, by), ["token", by]).groupBy("query_id", "id").agg(F.round(F.sum(F.col("q") * F.col("weight")), 6).alias("s"))
+    zero = both.join(met, ["query_id", "id"], "left").select("query_id", "id", F.coalesce("s", F.lit(0.0)).alias("score"))
+    return weighted([x.withColumn("rank", F.lit(0)) for x in (both, zero)], [DENSE_WEIGHT, SPARSE_WEIGHT], k)
+
+
 def fetch(hits: DataFrame, rows: DataFrame) -> DataFrame:
     """The hits with their rows' columns: texts are read only for what was ranked."""
     return hits.join(rows, "id")

@@ -293,6 +293,11 @@ def reranked_search(spark: SparkSession, d: str) -> DataFrame:
     return search.rerank(pool.join(asked, "query_id"), score).select("query_id", "id", "score", "rerank_score", "rank")
 
 
+def whole_filing_search(spark: SparkSession, d: str) -> DataFrame:
+    """Fusion over the query chunk's whole filing, rows without a common token included."""
+    return search.hybrid_within(corpus.vector_queries(spark, d).select("query_id", "rcept_no", "embedding", "sparse"), table(spark, d, "chunks").select("id", "rcept_no", "embedding", "sparse"), "rcept_no", 10)
+
+
 def embedded_search(spark: SparkSession, d: str) -> DataFrame:
     """Golden questions against chunks by the stand-in embedding."""
     questions = search.embedded(corpus.golden(spark, d).select("query_id", "text"), "text", search.HashingEmbedder)
@@ -316,6 +321,15 @@ def contexts_reformatted(spark: SparkSession, d: str) -> DataFrame:
     return context.assembled(search.fetch(hits, rows))
 
 
+def extracted_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Answers of the extractive stand-in to the golden questions, checked against their contexts."""
+    asked = corpus.golden(spark, d).select("query_id", "question", "metric", "expected_value")
+    rows = contexts(spark, d).join(asked, "query_id")
+    answered = rows.withColumn("answer", context.extracted_answer(F.col("context"), F.col("metric")))
+    final = context.verified(answered, lambda again: again)
+    return final.select("query_id", "answer", evaluate.answer_correct(F.col("answer"), F.col("expected_value")).alias("correct"))
+
+
 def _turns(spark: SparkSession, d: str) -> DataFrame:
     """Conversations of eight records each; a record names its company only in a rewritten query."""
     rows = table(spark, d, "baseline_items")

@@ -155,6 +155,14 @@ ORACLES = {
         r AS (SELECT query_id, h.id, score, round(len(list_distinct(list_intersect(list_distinct({TERMS.format("q.text")}), {TERMS.format("c.text")}))) / greatest(len(list_distinct({TERMS.format("q.text")})), 1), 6) AS rerank_score
               FROM h JOIN chunks c ON c.id = h.id JOIN chunks q ON q.id = h.query_id)
         SELECT query_id, id, score, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, score DESC, id) AS rank FROM r QUALIFY rank <= 5""",
+    "whole_filing_search": f"""WITH {VEC}, {SPARSE}, dense AS (SELECT query_id, id, score FROM dense_all WHERE same),
+        zero AS (SELECT d.query_id, d.id, coalesce(s.score, 0) AS score FROM dense d LEFT JOIN sparse_all s ON s.query_id = d.query_id AND s.id = d.id AND s.same),
+        {SCALED.format(a="dense", b="zero")}, fused AS (SELECT query_id, id, round(sum(CASE list WHEN 0 THEN 0.7 ELSE 0.3 END * s), 6) AS score FROM scaled GROUP BY query_id, id) """
+    + top("fused", 10),
+    "extracted_answers": f"""WITH {CH}, {GOLD}, {bm25(PLAIN, "bm", True)}, h AS (SELECT bm.query_id * 10 + rank AS id, bm.query_id, ch.text FROM bm JOIN ch USING (id) WHERE rank <= 3), {values("h")},
+        a AS (SELECT query_id, arg_min(value, vals.id) AS value FROM vals JOIN gold g ON g.query_id = vals.id // 10 AND g.metric = vals.metric GROUP BY query_id)
+        SELECT g.query_id, coalesce(value, '자료에서 찾을 수 없습니다') AS answer, coalesce(contains(coalesce(value, '자료에서 찾을 수 없습니다'), g.expected_value), false) AS correct
+        FROM gold g JOIN (SELECT DISTINCT query_id FROM h) USING (query_id) LEFT JOIN a USING (query_id)""",
     "contexts": f"""WITH {CH}, {GOLD}, {bm25(PLAIN, "bm", True)}, h AS (SELECT bm.query_id, rank, ch.*, {BASIS} AS basis FROM bm JOIN ch USING (id) WHERE rank <= 3)
         SELECT query_id, string_agg({CONTEXT}, chr(10) || chr(10) ORDER BY rank) AS context FROM h GROUP BY 1""",
     "carried_companies": f"WITH {TURNS} SELECT conversation, turn, coalesce(corp, last_value(nullif(corp, '') IGNORE NULLS) OVER (PARTITION BY conversation ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS corp FROM turns",

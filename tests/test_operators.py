@@ -228,3 +228,13 @@ def test_sample_is_stable(spark):
     df = spark.range(1000)
     a = rows(evaluate.sample(df, "id", 30), "id")
     assert a == rows(evaluate.sample(df.repartition(7), "id", 30), "id") and len(a) == 30
+
+
+def test_within_and_answers(spark):
+    df = spark.createDataFrame([(1, "a", [1.0, 0.0], {"x": 1.0}), (2, "a", [1.0, 1.0], None), (3, "b", [1.0, 0.0], {"x": 9.0}), (4, "a", [0.0, 0.0], {"x": 9.0})], "id bigint, c string, embedding array<float>, sparse map<string,double>")
+    q = spark.createDataFrame([(9, "a", [1.0, 0.0], {"x": 1.0})], "query_id bigint, c string, embedding array<float>, sparse map<string,double>")
+    assert rows(search.hybrid_within(q, df, "c"), "rank", "id", "score") == [(1, 1, 1.0), (2, 2, 0.0)]
+    answers = spark.createDataFrame([(1, "q", "매출액 | 1,234", "1,234"), (2, "q", "매출액 | 1,234", "9,999"), (3, "q", "없음", "모름")], "query_id bigint, question string, context string, answer string")
+    assert rows(context.verified(answers, lambda again: again), "query_id", "answer") == [(1, "1,234"), (2, context.NOT_FOUND), (3, "모름")]
+    made = answers.select("query_id", context.extracted_answer(F.col("context"), F.lit("매출액")).alias("a"))
+    assert rows(made, "query_id", "a") == [(1, "1,234"), (2, "1,234"), (3, context.NOT_FOUND)]
