@@ -9,6 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ROOT = str(Path(__file__).resolve().parent.parent)
 #: Tables whose rows are worked on one by one.
 LARGE = ("chunks", "documents")
 
@@ -16,7 +17,7 @@ LARGE = ("chunks", "documents")
 def local_session(cores: int | str = "*", shuffle: int = 8, memory: str = "8g") -> SparkSession:
     """A local session for tests and the bench. A cluster brings its own session."""
     # the Python workers import this package too
-    os.environ["PYTHONPATH"] = os.pathsep.join([str(Path(__file__).resolve().parent.parent), os.environ.get("PYTHONPATH", "")])
+    os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, os.environ.get("PYTHONPATH", "")])
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("filedeck")
@@ -50,6 +51,8 @@ def cut(df: DataFrame) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver test table. One that comes in fewer splits than there are cores, as small single files do, is
     spread over them; filters and column choices still reach the scan."""
+    # wherever the session was started, its Python workers find this package
+    spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
     return df.repartition(cores) if name in LARGE and df.rdd.getNumPartitions() < cores else df
