@@ -1,33 +1,34 @@
-"""The most similar vectors of every vector, by shifted space-filling curves.
-
-CURVES random rotations project the unit vectors to AXES dimensions; on each, a Hilbert curve with an
-offset of its own orders the projections. The curve is cut into key windows of about WINDOW vectors
-at quantiles of a bounded sample (SAMPLE rows, used for nothing else), Spark shuffles every vector to
-its window on each curve, and inside a window all vectors are compared. The lists of all curves are
-merged and re-ranked. Windows hold a constant number of vectors however large the table, and the
-windows of different curves lie differently, so neighbours parted by one border meet on another curve.
-
-Vectors with the same direction (equal after scaling to 16 bits a component) form one class and enter
-a window once; results name the class members with the smallest ids, so a table full of copies makes
-no large window and no long list. Null, all-zero, non-finite and wrongly sized vectors take no part.
-Ties go to the smaller id. Other columns are ignored; an empty table gives an empty result.
+"""The most similar vectors of every vector, by comparing all with all in blocks.
+
+Vectors of the same direction (equal after scaling to 16 bits a component) form one class, which is written once,
+128 bytes for 64 components, to the shared checkpoint folder, in the order of its smallest id. Each task takes some
+16,000 classes and streams the whole folder past them, one matrix product a tile; a running list of the k best of
+each class and its k-th cosine, which the next tile must beat, are all that is kept. No pair is left out, so the
+result does not depend on how the vectors lie, on the size of the table or on a sample. The price is work that grows
+with the square of the number of classes; memory a task is constant and the disk grows with the table.
+
+Results name the class members with the smallest ids, so a table full of copies makes no long list. Null, all-zero,
+non-finite and wrongly sized vectors take no part. Ties go to the smaller id. Other columns are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from filedeck.llm.codes import mix
-from filedeck.session import cut
+from filedeck.session import checkpoint_folder, cut
 
-CURVES, WINDOW, SAMPLE = 8, 8192, 50_000
-AXES, BITS = 8, 4
-#: Rows of a window compared with the whole window at once.
-ROWS = 1024
+#: Classes of one task, and the rows and columns of the tile that is compared at once.
+GROUP, ROWS, WINDOW = 16_384, 512, 512
 
 
 def hilbert(x: np.ndarray, bits: int) -> np.ndarray:
@@ -85,107 +86,104 @@ def class_of(q: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-class Curves:
-    """The fitted curves: rotations, grid and window borders. Its size depends on SAMPLE and the number of windows only."""
-
-    def __init__(self, size: int, curves: int, windows: int, sample: np.ndarray, seed: int = 11):
-        rng = np.random.default_rng(seed)
-        self.axes = min(AXES, size)
-        self.size = size
-        self.rotations = [np.linalg.qr(rng.normal(size=(size, self.axes)))[0] for _ in range(curves)]
-        self.shifts = rng.uniform(-0.1, 0.1, (curves, self.axes))
-        self.middle = [(sample @ r).mean(0) if len(sample) else np.zeros(self.axes) for r in self.rotations]
-        self.width = [6 * (sample @ r).std(0) + 1e-9 if len(sample) else np.ones(self.axes) for r in self.rotations]
-        cells = class_of(scaled(sample)) if len(sample) else np.zeros(0, np.int64)
-        phases = rng.uniform(0, 1, curves)
-        self.borders = []
-        for c in range(curves):
-            keys = np.sort(self.keys(c, sample, cells)) if len(sample) else np.zeros(0, np.uint64)
-            at = ((np.arange(windows) + phases[c]) / windows * len(keys)).astype(int) if windows > 1 else []
-            self.borders.append(np.unique(keys[np.minimum(at, len(keys) - 1)]) if len(at) and len(keys) else np.zeros(0, np.uint64))
-
-    def keys(self, c: int, v: np.ndarray, cells: np.ndarray) -> np.ndarray:
-        """Place on curve c, the vectors of one grid cell in the order of their names."""
-        top = (1 << BITS) - 1
-        grid = ((v @ self.rotations[c] - self.middle[c]) / self.width[c] + 0.5 + self.shifts[c]) * (top + 1)
-        return (hilbert(np.clip(grid, 0, top).astype(np.int64), BITS) << np.uint64(32)) | (cells.view(np.uint64) >> np.uint64(32))
-
-
-def _spread(curves):
+def _classes(size: int):
+    """(lead, class, v): each class in a batch once, with its smallest id."""
+
     def run(batches):
-        m: Curves = curves.value
-        for whole in batches:
-            rows, v = usable(whole.column("embedding"), m.size)
+        for batch in batches:
+            rows, v = usable(batch.column("embedding"), size)
             if not len(rows):
                 continue
-            q = scaled(v)
-            _, first = np.unique(name := class_of(q), return_index=True)  # copies enter once
-            v, q, name = v[first], q[first], name[first]
-            raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * m.size), len(q), [None, pa.py_buffer(np.ascontiguousarray(q).tobytes())]).cast(pa.binary())
-            for c, borders in enumerate(m.borders):
-                cell = np.searchsorted(borders, m.keys(c, v, name), "right") + c * 1_000_003
-                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), pa.array(name), raw], ["cell", "class", "v"])
+            ids = batch.column("id").to_numpy(zero_copy_only=False)[rows]
+            order = np.argsort(ids, kind="stable")
+            q = scaled(v[order])
+            name, first = np.unique(class_of(q), return_index=True)
+            raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * size), len(first), [None, pa.py_buffer(np.ascontiguousarray(q[first]).tobytes())]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(ids[order][first]), pa.array(name), raw], ["lead", "class", "v"])
 
     return run
 
 
-def _compare(name: np.ndarray, q: np.ndarray, k: int, floor: float):
-    """(class, near, cosine) arrays: for each vector of a window its k best others with at least `floor`."""
-    v = q.astype(np.float32)
-    v /= np.sqrt((v.astype(np.float64) ** 2).sum(1))[:, None].astype(np.float32)
-    n = len(v)
-    for a in range(0, n, ROWS):
-        s = v[a : a + ROWS] @ v.T
-        m = len(s)
-        s[np.arange(m), np.arange(a, a + m)] = -2
-        if floor > -1 or n <= 4 * k:
-            i, j = np.nonzero(s >= (floor if floor > -1 else -1.5))
-        else:
-            # The k best columns lie in the k groups of columns with the highest maxima.
-            groups = n // 16
-            wide = np.full((m, (groups + 1) * 16), -2, np.float32)
-            wide[:, :n] = s
-            best = wide.reshape(m, 16, groups + 1).max(1)
-            take = min(k, groups + 1)
-            g = np.argpartition(-best, take - 1, axis=1)[:, :take]
-            columns = (g[:, :, None] + (groups + 1) * np.arange(16)).reshape(m, -1)
-            values = np.take_along_axis(wide, columns, 1)
-            top = np.argpartition(-values, k - 1, axis=1)[:, :k]
-            i, j = np.repeat(np.arange(m), k), np.take_along_axis(columns, top, 1).ravel()
-            fine = j < n
-            i, j = i[fine], j[fine]
-        if len(i):
-            x = s[i, j]
-            order = np.lexsort((name[j], -x, i))
-            i, j, x = i[order], j[order], x[order]
-            start = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
-            rank = np.arange(len(i)) - np.repeat(start, np.diff(np.r_[start, len(i)]))
-            keep = rank < k
-            yield name[a + i[keep]], name[j[keep]], x[keep]
-
-
-def _windows(size: int, k: int, floor: float):
-    """Batches sorted by cell and class -> hits of each cell."""
-
-    def of(name, raw):
-        fresh = np.r_[True, name[1:] != name[:-1]]  # the same class from several batches
-        name, q = name[fresh], np.frombuffer(b"".join(raw), np.int16).reshape(-1, size)[fresh]
-        for a, b, x in _compare(name, q, k, floor):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(x.astype(np.float64))], ["class", "near", "cosine"])
+def _unit(column: pa.Array, size: int) -> np.ndarray:
+    v = np.frombuffer(b"".join(column.to_pylist()), np.int16).reshape(-1, size).astype(np.float32)
+    return v / np.sqrt((v.astype(np.float64) ** 2).sum(1))[:, None].astype(np.float32)
+
+
+def _stream(files: list[str], size: int, most: int = 16 * 1024):
+    """(classes, unit vectors) of all files, in their order."""
+    for uri in files:
+        system, path = pa.fs.FileSystem.from_uri(uri)
+        with system.open_input_file(path) as f:
+            for batch in pq.ParquetFile(f).iter_batches(most, columns=["class", "v"]):
+                yield batch.column("class").to_numpy(zero_copy_only=False), _unit(batch.column("v"), size)
+
+
+class Best:
+    """The k best others of each of some vectors so far, the first met first among equals."""
+
+    def __init__(self, name: np.ndarray, v: np.ndarray, k: int, floor: float):
+        self.name, self.v, self.k = name, v, k
+        self.cosine = np.full((len(v), k), np.nextafter(np.float32(floor), np.float32(-4)))
+        self.near, self.known = np.zeros((len(v), k), np.int64), np.zeros((len(v), k), bool)
+        self.least = self.cosine[:, -1].copy()  # what the next one must be above
+        self.rest: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.n_rest = 0
+
+    def meet(self, name: np.ndarray, w: np.ndarray, out: np.ndarray) -> None:
+        """Compare with the vectors w, which no earlier call had."""
+        s = np.matmul(self.v, w.T, out=out[: len(self.v), : len(w)])
+        rows = np.flatnonzero(s.max(1) > self.least)
+        if not len(rows):
+            return
+        s = s[rows]
+        fine = s > self.least[rows, None]
+        if s.shape[1] > self.k + 1 and np.count_nonzero(fine) > 4 * self.k * len(rows):  # k + 1: one may be the vector itself
+            fine &= s >= np.partition(s, -self.k - 1, axis=1)[:, -self.k - 1, None]
+        i, j = np.nonzero(fine)
+        x, i, j = s[i, j], rows[i], name[j]
+        other = self.name[i] != j
+        self.rest.append((i[other], j[other], x[other]))
+        self.n_rest += int(other.sum())
+        if self.n_rest > len(self.v) * self.k // 2:
+            self.merge()
+
+    def merge(self) -> None:
+        if not self.n_rest:
+            return
+        i, j, x = (np.concatenate(c) for c in zip(*self.rest))
+        self.rest, self.n_rest, k = [], 0, self.k
+        u = np.unique(i)
+        old, col = np.nonzero(self.known[u])
+        old = u[old]
+        i, j, x = np.r_[old, i], np.r_[self.near[old, col], j], np.r_[self.cosine[old, col], x]
+        order = np.lexsort((-x, i))  # stable: those met first come first
+        i, j, x = i[order], j[order], x[order]
+        start = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+        rank = np.arange(len(i)) - np.repeat(start, np.diff(np.r_[start, len(i)]))
+        keep = rank < k
+        i, j, x, rank = i[keep], j[keep], x[keep], rank[keep]
+        self.near[i, rank], self.cosine[i, rank], self.known[i, rank] = j, x, True
+        self.least[u] = self.cosine[u, -1]
+
+
+def _search(files: list[str], size: int, k: int, floor: float, window: int):
+    """Classes of a task -> the k best others of each among all classes in the files."""
 
     def run(batches):
-        cells, names, raws = np.zeros(0, np.int64), np.zeros(0, np.int64), []
-        for batch in batches:
-            cells = np.r_[cells, batch.column("cell").to_numpy(zero_copy_only=False)]
-            names = np.r_[names, batch.column("class").to_numpy(zero_copy_only=False)]
-            raws += batch.column("v").to_pylist()
-            edges = np.r_[0, np.flatnonzero(cells[1:] != cells[:-1]) + 1]
-            for a, b in zip(edges, edges[1:]):
-                yield from of(names[a:b], raws[a:b])
-            if len(edges) > 1:
-                cells, names, raws = cells[edges[-1] :], names[edges[-1] :], raws[edges[-1] :]
-        if len(cells):
-            yield from of(names, raws)
+        table = pa.Table.from_batches(batches) if (batches := [b for b in batches if b.num_rows]) else None
+        for at in range(0, table.num_rows if table else 0, GROUP):
+            part = table.slice(at, GROUP).combine_chunks()
+            name, v = part.column("class").to_numpy(), _unit(part.column("v"), size)
+            best = [Best(name[a : a + ROWS], v[a : a + ROWS], k, floor) for a in range(0, len(v), ROWS)]
+            out = np.empty((ROWS, window), np.float32)
+            for names, w in _stream(files, size):
+                for b in best:
+                    for c in range(0, len(w), window):
+                        b.meet(names[c : c + window], w[c : c + window], out)
+            for b in best:
+                b.merge()
+                i, r = np.nonzero(b.known)
+                yield pa.RecordBatch.from_arrays([pa.array(b.name[i]), pa.array(b.near[i, r]), pa.array(b.cosine[i, r].astype(np.float64))], ["class", "near", "cosine"])
 
     return run
 
@@ -200,20 +198,20 @@ def _names(size: int):
     return run
 
 
-def fit(vectors: DataFrame, size: int, curves: int, window: int, sample: int) -> Curves:
-    """Curves from a sample of at most `sample` vectors, chosen by a hash of the id."""
-    n = vectors.filter("embedding is not null").count()
-    part = vectors.filter(F.pmod(F.xxhash64("id"), F.lit(max(1, n // max(1, sample)))) == 0).limit(sample).select("embedding").toArrow()
-    _, v = usable(part.column("embedding").combine_chunks() if part.num_rows else pa.array([], pa.list_(pa.float32())), size)
-    return Curves(size, curves, -(-n // window), v)
-
-
-def class_hits(vectors: DataFrame, k: int, size: int, floor: float, curves: int, window: int, sample: int) -> DataFrame:
-    """(class, near, cosine): the k best classes of each class over all curves; cosines good to about 1e-6."""
-    model = vectors.sparkSession.sparkContext.broadcast(fit(vectors, size, curves, window, sample))
-    spread = vectors.select("embedding").mapInArrow(_spread(model), "cell bigint, class bigint, v binary")
-    met = spread.repartition("cell").sortWithinPartitions("cell", "class").mapInArrow(_windows(size, k, floor), "class bigint, near bigint, cosine double")
-    return met.groupBy("class", "near").agg(F.max("cosine").alias("cosine"))
+def class_hits(vectors: DataFrame, k: int, size: int, floor: float, window: int) -> DataFrame:
+    """(class, near, cosine): the k best other classes of each class; cosines good to about 1e-6."""
+    spark = vectors.sparkSession
+    folder = f"{checkpoint_folder(spark).rstrip('/')}/nearest-{uuid.uuid4().hex}"
+    once = vectors.mapInArrow(_classes(size), "lead bigint, class bigint, v binary").groupBy("class").agg(F.min("lead").alias("lead"), F.first("v").alias("v"))
+    once.orderBy("lead").write.parquet(folder)
+    try:
+        stored = spark.read.schema("class bigint, lead bigint, v binary").parquet(folder)
+        tasks = max(4 * spark.sparkContext.defaultParallelism, -(-stored.count() // GROUP))
+        files = sorted(stored.inputFiles())  # by name, and so by lead
+        return cut(stored.select("class", "v").repartition(tasks, "class").mapInArrow(_search(files, size, k, floor, window), "class bigint, near bigint, cosine double"))
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _first(df: DataFrame, key: str, order: list[Column], k: int) -> DataFrame:
@@ -221,25 +219,25 @@ def _first(df: DataFrame, key: str, order: list[Column], k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("rank") <= k)
 
 
-def near_ids(vectors: DataFrame, k: int = 10, size: int = 64, floor: float = -2.0, curves: int = CURVES, window: int = WINDOW, sample: int = SAMPLE) -> DataFrame:
+def near_ids(vectors: DataFrame, k: int = 10, size: int = 64, floor: float = -2.0, window: int = WINDOW) -> DataFrame:
     """vectors (id bigint unique, embedding) -> (id, near_id, cosine, rank): of every usable vector the k others
-    with the highest cosine among those that share a window with it, and at least `floor`.
+    with the highest cosine of all, and at least `floor`. window: columns of the tile compared at once.
 
     Copies are told apart by id: they are each other's nearest, the smallest ids first."""
     vectors = vectors.select(F.col("id").cast("bigint").alias("id"), "embedding")
     members = cut(vectors.mapInArrow(_names(size), "id bigint, class bigint"))
-    hits = _first(class_hits(vectors, k, size, floor, curves, window, sample), "class", [F.desc("cosine"), F.asc("near")], k)
+    hits = class_hits(vectors, k, size, floor, window)
     few = _first(members, "class", [F.asc("id")], k + 1).select("class", F.col("id").alias("near_id"))
-    reached = hits.select("class", "near", "cosine").unionByName(few.select("class", F.col("class").alias("near"), F.lit(1.0).alias("cosine")).distinct())
+    reached = hits.unionByName(few.select("class", F.col("class").alias("near"), F.lit(1.0).alias("cosine")).distinct())
     named = reached.join(few.withColumnRenamed("class", "near"), "near").select("class", "near_id", "cosine")
     best = _first(named, "class", [F.desc("cosine"), F.asc("near_id")], k + 1).select("class", "near_id", "cosine")
     rows = members.join(best, "class").filter("id <> near_id")
     return _first(rows, "id", [F.desc("cosine"), F.asc("near_id")], k).select("id", "near_id", "cosine", "rank")
 
 
-def similar_pairs(vectors: DataFrame, least: float, k: int = 10, size: int = 64, curves: int = CURVES, window: int = WINDOW, sample: int = SAMPLE) -> DataFrame:
+def similar_pairs(vectors: DataFrame, least: float, k: int = 10, size: int = 64, window: int = WINDOW) -> DataFrame:
     """(id_a, id_b, cosine) with cosine >= least in double precision, where one is among the k nearest of the other."""
-    near = near_ids(vectors, k, size, least - 1e-4, curves, window, sample)
+    near = near_ids(vectors, k, size, least - 1e-4, window)
     pairs = cut(near.select(F.least("id", "near_id").alias("id_a"), F.greatest("id", "near_id").alias("id_b")).distinct())
     v = vectors.select(F.col("id").cast("bigint").alias("id"), F.col("embedding").cast("array<double>").alias("e"))
     both = pairs.join(v.select(F.col("id").alias("id_a"), F.col("e").alias("x")), "id_a").join(v.select(F.col("id").alias("id_b"), F.col("e").alias("y")), "id_b")

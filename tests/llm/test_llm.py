@@ -185,6 +185,15 @@ def test_nearest_of_copies(spark):
         assert found[i] == [j for j in smallest if j != i][:10]
 
 
+def test_nearest_of_random_vectors(spark):
+    """Sixty windows of vectors without any group: no list is shortened by the number of windows."""
+    v = np.random.default_rng(10).normal(size=(3000, 64))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id bigint, embedding array<double>")
+    exact = {(i, int(j)) for i, near in enumerate(brute(np.arange(3000), v, 10)[1]) for j in near}
+    found = set(rows(nearest.near_ids(df, window=50), "id", "near_id"))
+    assert len(found) == 30_000 and len(found & exact) / 30_000 > 0.999
+
+
 def test_nearest_of_nothing(spark):
     assert nearest.near_ids(spark.createDataFrame([], "id bigint, embedding array<float>")).count() == 0
 
