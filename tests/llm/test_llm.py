@@ -185,6 +185,21 @@ def test_nearest_of_copies(spark):
         assert found[i] == [j for j in smallest if j != i][:10]
 
 
+def test_nearest_in_a_tight_group(spark):
+    """A third of all rows are near copies of one direction, many times a window: their lists are whole."""
+    v = vectors(6000, 8)
+    r = np.random.default_rng(9)
+    v[::3] = v[0] / np.linalg.norm(v[0]) + 0.03 * r.normal(size=(2000, 64))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id bigint, embedding array<double>")
+    s, order = brute(np.arange(6000), v, 10)
+    exact = {(i, int(j)) for i in range(6000) for j in order[i]}
+    found = set(rows(nearest.near_ids(df, window=100), "id", "near_id"))
+    assert len(found) == 60_000 and len(found & exact) / 60_000 > 0.999
+    close = {(min(i, int(j)), max(i, int(j))) for i in range(6000) for j in order[i] if s[i, j] >= 0.85}
+    pairs = set(rows(nearest.similar_pairs(df, 0.85, window=100), "id_a", "id_b"))
+    assert len(pairs & close) / len(pairs | close) > 0.999
+
+
 def test_nearest_of_random_vectors(spark):
     """Sixty windows of vectors without any group: no list is shortened by the number of windows."""
     v = np.random.default_rng(10).normal(size=(3000, 64))
