@@ -209,6 +209,15 @@ def test_nearest_of_random_vectors(spark):
     assert len(found) == 30_000 and len(found & exact) / 30_000 > 0.999
 
 
+def test_nearest_ties(spark):
+    """Unit vectors along the axes: every other class is as near, so the smallest ids come."""
+    v = np.eye(64)[np.random.default_rng(12).permutation(64)]
+    found = collections.defaultdict(list)
+    for i, j in rows(nearest.near_ids(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id bigint, embedding array<double>"), window=7).orderBy("id", "rank"), "id", "near_id"):
+        found[i].append(j)
+    assert all(found[i] == [j for j in range(11) if j != i][:10] for i in range(64))
+
+
 def test_nearest_of_nothing(spark):
     assert nearest.near_ids(spark.createDataFrame([], "id bigint, embedding array<float>")).count() == 0
 
