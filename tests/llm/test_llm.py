@@ -133,6 +133,13 @@ def test_repeated_lines_in_one_source_alone(spark):
     assert repeated_lines.repeated(spark.createDataFrame([], "id bigint, source string, text string")).count() == 0
 
 
+def test_repeated_lines_at_mixed_rates(spark):
+    """A notice at the level in one small source and nearly as frequent elsewhere is a case all the same."""
+    data = [(100 * s + i, f"s{s}", f"본문 {chr(0xAC00 + 60 * s + i)}" + "\n알림" * (i < (5 if s == 0 else 4))) for s in range(40) for i in range(20)]
+    found = rows(repeated_lines.repeated(spark.createDataFrame(data, "id bigint, source string, text string")), "id", "line_no")
+    assert found == lines_model(data) == [(i, 2) for i in range(5)]
+
+
 def test_ordinary_words_are_no_excess():
     """The rate elsewhere counts: a share equal to it is not significant."""
     assert repeated_lines.cutoff({0: 100}, 0.05) == float("inf")
