@@ -5,6 +5,7 @@ import itertools
 import os
 import random
 import re
+import time
 import unicodedata
 
 import numpy as np
@@ -427,6 +428,19 @@ def test_leaks(spark):
 
 # 8 languages
 
+
+def test_markup_of_any_length():
+    """Long tags are markup; comparison signs far apart are not; an open tag costs no more than its length."""
+    image = "<img src='data:image/png;base64," + "QUJD" * 2000 + "'/>"
+    style = "<td nowrap style='" + "margin: 0; " * 300 + "'>"
+    assert languages.MARKUP.sub("", f"앞{image}뒤<!-- {'note ' * 500}-->끝{style}칸") == "앞뒤끝칸"
+    words = "a < b " + "plain words " * 100 + "c > d"
+    assert languages.MARKUP.sub("", words) == words
+    began = time.process_time()
+    languages.MARKUP.sub("", "<a b=" + "c = " * 200_000 + "<a " * 100_000)
+    assert time.process_time() - began < 5
+
+
 SAID = {
     "en": "The company shipped {} units of filters to the home market during the year. The board approved a new budget for the line.",
     "de": "Das Unternehmen lieferte im Jahr {} Stück nach Nordeuropa. Der Aufsichtsrat genehmigte ein neues Budget für die Anlage.",
