@@ -77,6 +77,11 @@ def p6_pack(spark: SparkSession, d: str) -> DataFrame:
     return packing.packed(table(spark, d, "documents").select("doc_id", "n_tokens", "text"))
 
 
+def p6_program(spark: SparkSession, d: str) -> DataFrame:
+    """Value and lower bound of the configuration program, and how many containers its rounding gave."""
+    return packing.program_figures(table(spark, d, "documents").select("doc_id", "n_tokens", "text"))
+
+
 def p6_containers(spark: SparkSession, d: str) -> DataFrame:
     """The containers with their items and unused tokens."""
     return packing.containers(p6_pack(spark, d))
@@ -127,7 +132,7 @@ def p8_stretches(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumnRenamed("id", "doc_id").withColumn("confidence", F.round("confidence", 4))
 
 
-NAMES = (p1_found, p1_links, p2_found, p2_clean, p3_found, p3_topk, p4_found, p4_pieces, p5_found, p5_defects, p6_pack, p6_containers, p7_found, p7_matches, p7_clean, p8_found, p8_languages, p8_stretches)
+NAMES = (p1_found, p1_links, p2_found, p2_clean, p3_found, p3_topk, p4_found, p4_pieces, p5_found, p5_defects, p6_pack, p6_program, p6_containers, p7_found, p7_matches, p7_clean, p8_found, p8_languages, p8_stretches)
 
 
 def queries() -> dict:

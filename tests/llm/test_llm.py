@@ -366,17 +366,48 @@ def test_packing_edges(spark, monkeypatch):
         assert found == [(1, 2), (2, 0), (3, 1)]
 
 
-@settings(max_examples=10, deadline=None)
-@given(st.dictionaries(st.integers(1, 60), st.integers(1, 20), min_size=1, max_size=10))
-def test_fill(histogram):
+@settings(max_examples=5, deadline=None)
+@given(histogram=st.dictionaries(st.integers(1, 60), st.integers(1, 20), min_size=1, max_size=10))
+def test_fill(spark, histogram):
     sizes = np.array(sorted(histogram))
     counts = np.array([histogram[s] for s in sizes.tolist()])
-    out = packing.fill(sizes, counts, 60, 16)
+    filled = packing.Fill(spark, sizes, counts, 60)
     used = np.zeros(len(sizes), int)
-    for at, a, times in out:
+    for at, a, times in filled.taken:
         assert (sizes[at] * a).sum() <= 60
         used[at] += a * times
     assert (used == counts).all()
+    program, covered = filled.programs[0], np.zeros(len(sizes))
+    for (at, a), times in program.use:
+        assert (sizes[at] * a).sum() <= 60
+        covered[at] += a * times
+    assert np.allclose(covered, counts) and program.bound <= program.value + 1e-6 and filled.n >= program.bound - 1e-6
+
+
+def test_knapsacks_are_best():
+    """Against a plain recursion over all sizes."""
+    r = np.random.default_rng(3)
+    for _ in range(20):
+        sizes = np.unique(r.integers(1, 20, 5))
+        values = r.random((2, len(sizes))).astype(np.float32)
+        best, first = packing.knapsacks(sizes, values, 40)
+        for row in range(2):
+            plain = [0.0]
+            for c in range(1, 41):
+                plain.append(max([plain[c - 1]] + [plain[c - s] + float(v) for s, v in zip(sizes.tolist(), values[row]) if s <= c]))
+            assert np.allclose(best[row], plain, atol=1e-5)
+            held = packing.traced(first[row].tolist(), sizes, 40)
+            assert sizes[held].sum() <= 40 and abs(values[row][held].sum() - plain[-1]) < 1e-4
+
+
+def test_program(spark):
+    """Close to its own lower bound, every length covered in full, most containers from rounding."""
+    sizes = np.arange(30, 1500, 7)
+    counts = np.random.default_rng(4).integers(1, 30, len(sizes))
+    filled = packing.Fill(spark, sizes, counts)
+    first = filled.programs[0]
+    assert first.bound <= first.value <= 1.01 * first.bound
+    assert filled.rounded >= 0.9 * filled.n and filled.n <= 1.01 * first.bound + 1
 
 
 # 7 leakage
