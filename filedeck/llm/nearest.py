@@ -1,11 +1,16 @@
-"""The most similar vectors of every vector, by comparing all with all in blocks.
+"""The most similar vectors of every vector, along shifted Hilbert curves.
 
-Vectors of the same direction (equal after scaling to 16 bits a component) form one class, which is written once,
-128 bytes for 64 components, to the shared checkpoint folder, in the order of its smallest id. Each task takes some
-16,000 classes and streams the whole folder past them, one matrix product a tile; a running list of the k best of
-each class and its k-th cosine, which the next tile must beat, are all that is kept. No pair is left out, so the
-result does not depend on how the vectors lie, on the size of the table or on a sample. The price is work that grows
-with the square of the number of classes; memory a task is constant and the disk grows with the table.
+Vectors of the same direction (equal after scaling to 16 bits a component) form one class. Each of CURVES curves
+projects the classes on AXES random directions, shifts and scales them by the table's own mean and spread, and orders
+them by the Hilbert index of the grid cell (a hash that differs by curve within a cell).
+Spark range-partitions the classes by (curve, key) and sorts them; a partition is read in windows of WINDOW rows by rank, and each window is
+compared with itself and with the next one by matrix products, so a vector meets all that stand within WINDOW places of it;
+only the border between two partitions parts neighbouring windows. A partition holds about SPAN windows, so their number follows from
+the number of classes. The lists of all curves are merged, and the k best by their cosine stay (the rerank). Work and data grow in
+proportion to the table.
+
+The accuracy lost is that of a pair which stands more than a window apart on every curve. `exact_ids` compares
+a stated set of queries with all rows in blocks; `recall` measures the curves against it.
 
 Results name the class members with the smallest ids, so a table full of copies makes no long list. Null, all-zero,
 non-finite and wrongly sized vectors take no part. Ties go to the smaller id. Other columns are ignored; an empty
@@ -25,10 +30,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from filedeck.llm.codes import mix
+from filedeck.operators.skew import salted_join
 from filedeck.session import checkpoint_folder, cut
 
-#: Classes of one task, and the rows and columns of the tile that is compared at once.
-GROUP, ROWS, WINDOW = 16_384, 512, 512
+#: Curves, axes of a curve and bits of an axis; rows of a window and windows of a partition.
+CURVES, AXES, BITS, WINDOW, SPAN = 8, 8, 8, 8192, 8
+#: Rows and columns of the tile that is compared at once.
+ROWS = 512
+#: Classes of one task of the exact search.
+GROUP = 16_384
 
 
 def hilbert(x: np.ndarray, bits: int) -> np.ndarray:
@@ -129,9 +139,14 @@ class Best:
         self.rest: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.n_rest = 0
 
-    def meet(self, name: np.ndarray, w: np.ndarray, out: np.ndarray) -> None:
-        """Compare with the vectors w, which no earlier call had."""
+    def meet(self, name: np.ndarray, w: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """Compare with the vectors w, which no earlier call had; their cosines."""
         s = np.matmul(self.v, w.T, out=out[: len(self.v), : len(w)])
+        self.look(name, s)
+        return s
+
+    def look(self, name: np.ndarray, s: np.ndarray) -> None:
+        """Take what is good enough of cosines [own vectors, others] with others of these names."""
         rows = np.flatnonzero(s.max(1) > self.least)
         if not len(rows):
             return
@@ -198,49 +213,265 @@ def _names(size: int):
     return run
 
 
-def class_hits(vectors: DataFrame, k: int, size: int, floor: float, window: int) -> DataFrame:
-    """(class, near, cosine): the k best other classes of each class; cosines good to about 1e-6."""
+def _stored(vectors: DataFrame, size: int) -> DataFrame:
+    """(class, lead, v): each class once, with its smallest id."""
+    return vectors.mapInArrow(_classes(size), "lead bigint, class bigint, v binary").groupBy("class").agg(F.min("lead").alias("lead"), F.first("v").alias("v"))
+
+
+def class_hits(vectors: DataFrame, k: int, size: int, floor: float, window: int, asked: DataFrame | None = None) -> DataFrame:
+    """(class, near, cosine): the k best other classes of each class (or each class in `asked`); cosines good to about 1e-6."""
     spark = vectors.sparkSession
     folder = f"{checkpoint_folder(spark).rstrip('/')}/nearest-{uuid.uuid4().hex}"
-    once = vectors.mapInArrow(_classes(size), "lead bigint, class bigint, v binary").groupBy("class").agg(F.min("lead").alias("lead"), F.first("v").alias("v"))
-    once.orderBy("lead").write.parquet(folder)
+    _stored(vectors, size).orderBy("lead").write.parquet(folder)
     try:
         stored = spark.read.schema("class bigint, lead bigint, v binary").parquet(folder)
-        tasks = max(4 * spark.sparkContext.defaultParallelism, -(-stored.count() // GROUP))
         files = sorted(stored.inputFiles())  # by name, and so by lead
-        return cut(stored.select("class", "v").repartition(tasks, "class").mapInArrow(_search(files, size, k, floor, window), "class bigint, near bigint, cosine double"))
+        mine = stored.join(asked.select("class").distinct(), "class", "left_semi") if asked is not None else stored
+        tasks = max(4 * spark.sparkContext.defaultParallelism, -(-mine.count() // GROUP))
+        return cut(mine.select("class", "v").repartition(tasks, "class").mapInArrow(_search(files, size, k, floor, window), "class bigint, near bigint, cosine double"))
     finally:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+# Along curves
+
+
+def directions(curve: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(orthonormal directions [size, axes], shift of each axis in cells of the coarsest grid) of a curve."""
+    r = np.random.default_rng([11, curve])
+    q, _ = np.linalg.qr(r.normal(size=(size, min(AXES, size))))
+    return q, r.uniform(-0.5, 0.5, q.shape[1])
+
+
+def _moments(size: int):
+    """(n, s, ss): number of vectors and sums of their components and of products of components."""
+
+    def run(batches):
+        n, s, ss = 0, np.zeros(size), np.zeros((size, size))
+        for batch in batches:
+            if batch.num_rows:
+                v = _unit(batch.column("v"), size).astype(np.float64)
+                n, s, ss = n + len(v), s + v.sum(0), ss + v.T @ v
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([s.tolist()], pa.list_(pa.float64())), pa.array([ss.ravel().tolist()], pa.list_(pa.float64()))], ["n", "s", "ss"])
+
+    return run
+
+
+def moments(stored: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(mean, covariance, n) of all unit vectors; size squared numbers a task are summed in Spark."""
+    rows = stored.select("v").mapInArrow(_moments(size), "n bigint, s array<double>, ss array<double>")
+    both = rows.select("n", F.posexplode(F.concat("s", "ss")).alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).orderBy("at").toPandas()
+    n = int(both["n"].iloc[0]) if len(both) else 0
+    x = both["x"].to_numpy() / max(n, 1)
+    mean = x[:size] if n else np.zeros(size)
+    return mean, (x[size:].reshape(size, size) if n else np.zeros((size, size))) - np.outer(mean, mean), n
+
+
+def curve_keys(v: np.ndarray, name: np.ndarray, curve: int, mean: np.ndarray, covariance: np.ndarray) -> np.ndarray:
+    """Place of each unit vector on a curve, as numbers in its order."""
+    q, shift = directions(curve, v.shape[1])
+    spread = np.sqrt(np.maximum(np.einsum("ia,ij,ja->a", q, covariance, q), 1e-12))
+    x = (v - mean) @ q / spread + shift
+    cell = np.clip((x + 4) / 8 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.uint64)
+    h = hilbert(cell, BITS)
+    return (h ^ np.uint64(1 << 63)).view(np.int64)
+
+
+def _along(size: int, curves: int, mean: np.ndarray, covariance: np.ndarray):
+    """(curve, key, tie, class, v): each class once for each curve."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            name = batch.column("class").to_numpy(zero_copy_only=False)
+            v = _unit(batch.column("v"), size).astype(np.float64)
+            for c in range(curves):
+                key = curve_keys(v, name, c, mean, covariance)
+                tie = mix(name.view(np.uint64) ^ np.uint64(c + 1)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(name), c, np.int32)), pa.array(key), pa.array(tie), batch.column("class"), batch.column("v")], ["curve", "key", "tie", "class", "v"])
+
+    return run
+
+
+LIST = np.dtype([("near", "<i8"), ("cosine", "<f4")])
+
+
+def _windows(size: int, k: int, floor: float, window: int):
+    """Sorted rows of a partition -> (class, list): the k best others of each class in its window and its neighbours."""
+
+    def blocks(curve, name, v):
+        return [Best(name[a : a + ROWS], v[a : a + ROWS], k, floor) for a in range(0, len(name), ROWS)]
+
+    def done(made: list[Best]):
+        for b in made:
+            b.merge()
+            n = b.known.sum(1)
+            at = np.flatnonzero(n)
+            if len(at):
+                lists = np.zeros(int(n.sum()), LIST)
+                lists["near"], lists["cosine"] = b.near[b.known], b.cosine[b.known]
+                ends = np.cumsum(n[at]) * LIST.itemsize
+                raw = pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.r_[0, ends].astype(np.int32)), pa.py_buffer(lists.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(b.name[at]), raw], ["class", "list"])
+
+    def run(batches):
+        out = np.empty((ROWS, ROWS), np.float32)
+        last, before = None, []
+        for curve, name, v in _runs(batches, size, window):
+            made = blocks(curve, name, v)
+            for i, a in enumerate(made):
+                for b in made[i:]:
+                    s = a.meet(b.name, b.v, out)
+                    if b is not a:
+                        b.look(a.name, s.T)
+                for b in before if curve == last else []:
+                    b.look(a.name, a.meet(b.name, b.v, out).T)
+            yield from done(before)
+            last, before = curve, made
+        yield from done(before)
+
+    return run
+
+
+def _runs(batches, size: int, window: int):
+    """(curve, names, unit vectors): `window` rows of one curve at a time, its last one with what is left."""
+    kept: list[pa.RecordBatch] = []
+    n = 0
+
+    def whole(rows: pa.Table):
+        curve = rows.column("curve").to_numpy()
+        for part in np.split(np.arange(len(curve)), np.flatnonzero(np.diff(curve)) + 1):
+            if len(part):
+                t = rows.slice(int(part[0]), len(part)).combine_chunks()
+                yield int(curve[part[0]]), t.column("class").to_numpy(), _unit(t.column("v"), size)
+
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            piece = batch.slice(at, window - n)
+            kept.append(piece)
+            n, at = n + piece.num_rows, at + piece.num_rows
+            if n == window:
+                yield from whole(pa.Table.from_batches(kept))
+                kept, n = [], 0
+    if n:
+        yield from whole(pa.Table.from_batches(kept))
+
+
+def _merged(k: int):
+    """Rows (class, list) sorted by class -> (class, near, cosine): the k best different ones of each class."""
+
+    def best(name: np.ndarray, raw: list[bytes]):
+        n = np.array([len(x) for x in raw]) // LIST.itemsize
+        lists = np.frombuffer(b"".join(raw), LIST)
+        i, near, cosine = np.repeat(name, n), lists["near"], lists["cosine"]
+        order = np.lexsort((-cosine, near, i))
+        i, near, cosine = i[order], near[order], cosine[order]
+        new = np.r_[True, (i[1:] != i[:-1]) | (near[1:] != near[:-1])]
+        i, near, cosine = i[new], near[new], cosine[new]
+        order = np.lexsort((near, -cosine, i))
+        i, near, cosine = i[order], near[order], cosine[order]
+        start = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+        keep = np.arange(len(i)) - np.repeat(start, np.diff(np.r_[start, len(i)])) < k
+        return pa.RecordBatch.from_arrays([pa.array(i[keep]), pa.array(near[keep]), pa.array(cosine[keep].astype(np.float64))], ["class", "near", "cosine"])
+
+    def run(batches):
+        name, raw = np.zeros(0, np.int64), []
+        for batch in batches:
+            name, raw = np.r_[name, batch.column("class").to_numpy(zero_copy_only=False)], raw + batch.column("list").to_pylist()
+            last = int(np.searchsorted(name, name[-1])) if len(name) else 0  # the last class may go on in the next batch
+            if last:
+                yield best(name[:last], raw[:last])
+                name, raw = name[last:], raw[last:]
+        if raw:
+            yield best(name, raw)
+
+    return run
+
+
+def curve_hits(vectors: DataFrame, k: int, size: int, floor: float, curves: int, window: int) -> DataFrame:
+    """As class_hits, among the classes that stand near each other on some curve."""
+    stored = cut(_stored(vectors, size).select("class", "v"))
+    mean, covariance, n = moments(stored, size)
+    tasks = curves * max(1, -(-n // (SPAN * window)))
+    placed = stored.mapInArrow(_along(size, curves, mean, covariance), "curve int, key bigint, tie bigint, class bigint, v binary")
+    ordered = placed.repartitionByRange(tasks, "curve", "key", "tie").sortWithinPartitions("curve", "key", "tie")
+    lists = ordered.mapInArrow(_windows(size, k, floor, window), "class bigint, list binary")
+    return cut(lists.repartition("class").sortWithinPartitions("class").mapInArrow(_merged(k), "class bigint, near bigint, cosine double"))
+
+
 def _first(df: DataFrame, key: str, order: list[Column], k: int) -> DataFrame:
     """The first k rows of each key; Spark cuts each task's rows to k before it shuffles them."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("rank") <= k)
 
 
-def near_ids(vectors: DataFrame, k: int = 10, size: int = 64, floor: float = -2.0, window: int = WINDOW) -> DataFrame:
-    """vectors (id bigint unique, embedding) -> (id, near_id, cosine, rank): of every usable vector the k others
-    with the highest cosine of all, and at least `floor`. window: columns of the tile compared at once.
-
-    Copies are told apart by id: they are each other's nearest, the smallest ids first."""
-    vectors = vectors.select(F.col("id").cast("bigint").alias("id"), "embedding")
-    members = cut(vectors.mapInArrow(_names(size), "id bigint, class bigint"))
-    hits = class_hits(vectors, k, size, floor, window)
+def _named(members: DataFrame, hits: DataFrame, k: int) -> DataFrame:
+    """(id, near_id, cosine, rank) from hits between classes; a class of many copies is spread over many tasks."""
     few = _first(members, "class", [F.asc("id")], k + 1).select("class", F.col("id").alias("near_id"))
     reached = hits.unionByName(few.select("class", F.col("class").alias("near"), F.lit(1.0).alias("cosine")).distinct())
     named = reached.join(few.withColumnRenamed("class", "near"), "near").select("class", "near_id", "cosine")
-    best = _first(named, "class", [F.desc("cosine"), F.asc("near_id")], k + 1).select("class", "near_id", "cosine")
-    rows = members.join(best, "class").filter("id <> near_id")
+    best = cut(_first(named, "class", [F.desc("cosine"), F.asc("near_id")], k + 1).select("class", "near_id", "cosine"))
+    rows = salted_join(members, best, ["class"]).filter("id <> near_id")
     return _first(rows, "id", [F.desc("cosine"), F.asc("near_id")], k).select("id", "near_id", "cosine", "rank")
 
 
-def similar_pairs(vectors: DataFrame, least: float, k: int = 10, size: int = 64, window: int = WINDOW) -> DataFrame:
-    """(id_a, id_b, cosine) with cosine >= least in double precision, where one is among the k nearest of the other."""
-    near = near_ids(vectors, k, size, least - 1e-4, window)
+def _members(vectors: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """(vectors (id, embedding), the class of each usable one)."""
+    vectors = vectors.select(F.col("id").cast("bigint").alias("id"), "embedding")
+    return vectors, cut(vectors.mapInArrow(_names(size), "id bigint, class bigint"))
+
+
+def near_ids(vectors: DataFrame, k: int = 10, size: int = 64, floor: float = -2.0, window: int = ROWS, asked: Column | None = None) -> DataFrame:
+    """vectors (id bigint unique, embedding) -> (id, near_id, cosine, rank): of every usable vector the k others
+    with the highest cosine of all, and at least `floor`, by comparing all with all in blocks. window: columns of the
+    block compared at once; asked: a condition on id, of the vectors whose lists are wanted.
+
+    Work grows with the number of lists times the number of vectors: this is the yardstick for `curve_ids`.
+    Copies are told apart by id: they are each other's nearest, the smallest ids first."""
+    vectors, members = _members(vectors, size)
+    wanted = members.filter(asked) if asked is not None else None
+    named = _named(members, class_hits(vectors, k, size, floor, window, wanted), k)
+    return named.filter(asked) if asked is not None else named
+
+
+def curve_ids(vectors: DataFrame, k: int = 10, size: int = 64, floor: float = -2.0, curves: int = CURVES, window: int = WINDOW) -> DataFrame:
+    """As near_ids, of the others that stand near on some of the curves: nearly all, with work in proportion to the table."""
+    vectors, members = _members(vectors, size)
+    return _named(members, curve_hits(vectors, k, size, floor, curves, window), k)
+
+
+def recall(vectors: DataFrame, asked: Column, k: int = 10, size: int = 64, curves: int = CURVES, window: int = WINDOW) -> DataFrame:
+    """One row (lists, pairs, found, recall): how many of the exact neighbours of the vectors asked for the curves find."""
+    exact = near_ids(vectors, k, size, asked=asked).select("id", "near_id")
+    found = exact.join(curve_ids(vectors, k, size, curves=curves, window=window).filter(asked).select("id", "near_id"), ["id", "near_id"], "left_semi")
+    counts = exact.agg(F.countDistinct("id").alias("lists"), F.count("*").alias("pairs")).join(found.agg(F.count("*").alias("found")))  # one row each
+    return counts.withColumn("recall", F.col("found") / F.col("pairs"))
+
+
+def _cosines(batches):
+    """(id_a, id_b, x, y) -> (id_a, id_b, cosine) in double precision."""
+    for batch in batches:
+        if batch.num_rows:
+            x, y = (batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1) for c in ("x", "y"))
+            cosine = np.einsum("ij,ij->i", x, y) / (np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.einsum("ij,ij->i", y, y)))
+            yield pa.RecordBatch.from_arrays([batch.column("id_a"), batch.column("id_b"), pa.array(cosine)], ["id_a", "id_b", "cosine"])
+
+
+def pairs_of(near: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
+    """(id_a, id_b, cosine) of the pairs in lists (id, near_id) with cosine >= least in double precision."""
     pairs = cut(near.select(F.least("id", "near_id").alias("id_a"), F.greatest("id", "near_id").alias("id_b")).distinct())
-    v = vectors.select(F.col("id").cast("bigint").alias("id"), F.col("embedding").cast("array<double>").alias("e"))
-    both = pairs.join(v.select(F.col("id").alias("id_a"), F.col("e").alias("x")), "id_a").join(v.select(F.col("id").alias("id_b"), F.col("e").alias("y")), "id_b")
-    total = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
-    cosine = total("x", "y") / (F.sqrt(total("x", "x")) * F.sqrt(total("y", "y")))
-    return both.select("id_a", "id_b", cosine.alias("cosine")).filter(F.col("cosine") >= least)
+    v = vectors.select(F.col("id").cast("bigint").alias("id"), "embedding")
+    both = pairs.join(v.select(F.col("id").alias("id_a"), F.col("embedding").alias("x")), "id_a").join(v.select(F.col("id").alias("id_b"), F.col("embedding").alias("y")), "id_b")
+    return both.select("id_a", "id_b", "x", "y").mapInArrow(_cosines, "id_a bigint, id_b bigint, cosine double").filter(F.col("cosine") >= least)
+
+
+def similar_pairs(vectors: DataFrame, least: float, k: int = 10, size: int = 64, window: int = ROWS) -> DataFrame:
+    """(id_a, id_b, cosine) with cosine >= least in double precision, where one is among the k nearest of the other, exact as near_ids."""
+    return pairs_of(near_ids(vectors, k, size, least - 1e-4, window), vectors, least)
+
+
+def curve_pairs(vectors: DataFrame, least: float, k: int = 10, size: int = 64, curves: int = CURVES, window: int = WINDOW) -> DataFrame:
+    """As similar_pairs, along the curves."""
+    return pairs_of(curve_ids(vectors, k, size, least - 1e-4, curves, window), vectors, least)

@@ -37,15 +37,20 @@ def p2_clean(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of chunks with a cosine of at least 0.85, one among the ten nearest of the other."""
-    return nearest.similar_pairs(table(spark, d, "chunks").select("id", "embedding"), 0.85).select("id_a", "id_b")
+    return nearest.curve_pairs(table(spark, d, "chunks").select("id", "embedding"), 0.85).select("id_a", "id_b")
 
 
 def p3_topk(spark: SparkSession, d: str) -> DataFrame:
     """Ten near chunks of every usable chunk with their cosine."""
-    near = nearest.near_ids(table(spark, d, "chunks").select("id", "embedding"))
+    near = nearest.curve_ids(table(spark, d, "chunks").select("id", "embedding"))
     return near.select("id", "near_id", F.round("cosine", 5).alias("cosine"), "rank")
 
 
+def p3_recall(spark: SparkSession, d: str) -> DataFrame:
+    """What p3_topk finds of the exact ten nearest of the chunks whose id is divisible by 100."""
+    return nearest.recall(table(spark, d, "chunks").select("id", "embedding"), F.col("id") % 100 == 0)
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Chunks that had to be cut."""
     return p4_pieces(spark, d).filter("piece_no = 1").select("id")
@@ -132,7 +137,7 @@ def p8_stretches(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumnRenamed("id", "doc_id").withColumn("confidence", F.round("confidence", 4))
 
 
-NAMES = (p1_found, p1_links, p2_found, p2_clean, p3_found, p3_topk, p4_found, p4_pieces, p5_found, p5_defects, p6_pack, p6_program, p6_containers, p7_found, p7_matches, p7_clean, p8_found, p8_languages, p8_stretches)
+NAMES = (p1_found, p1_links, p2_found, p2_clean, p3_found, p3_topk, p3_recall, p4_found, p4_pieces, p5_found, p5_defects, p6_pack, p6_program, p6_containers, p7_found, p7_matches, p7_clean, p8_found, p8_languages, p8_stretches)
 
 
 def queries() -> dict:

@@ -230,6 +230,55 @@ def test_nearest_of_nothing(spark):
     assert nearest.near_ids(spark.createDataFrame([], "id bigint, embedding array<float>")).count() == 0
 
 
+CURVED = "id bigint, embedding array<double>"
+
+
+def share_found(spark, v, **sizes):
+    """Recall of whole lists of ten along curves."""
+    n = len(v)
+    exact = {(i, int(j)) for i, near in enumerate(brute(np.arange(n), v, 10)[1]) for j in near}
+    found = rows(nearest.curve_ids(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], CURVED), **sizes), "id", "near_id")
+    assert len(found) == len(set(found)) == 10 * n
+    return len(set(found) & exact) / (10 * n)
+
+
+def test_curves_in_groups(spark):
+    """Ten windows a curve and more: nearly all of the lists of vectors that lie in groups; all where a window holds the table."""
+    v = vectors(3000, 6)
+    assert share_found(spark, v) == 1
+    assert share_found(spark, v, window=300) > 0.97
+
+
+def test_curves_of_random_vectors(spark):
+    """Vectors without any group, the hardest case, sixteen windows a curve, as many as a table of 130,000 has by default."""
+    v = np.random.default_rng(10).normal(size=(4000, 64))
+    assert share_found(spark, v, window=250) > 0.9
+
+
+def test_curves_in_a_tight_group(spark):
+    """A third of all rows are near copies of one direction, many times a window."""
+    v = vectors(6000, 8)
+    v[::3] = v[0] / np.linalg.norm(v[0]) + 0.03 * np.random.default_rng(9).normal(size=(2000, 64))
+    assert share_found(spark, v, window=400) > 0.9
+
+
+def test_curves_with_odd_rows(spark):
+    """Null, zero, short and non-finite vectors take no part, copies are each other's nearest, other columns do not matter."""
+    v = vectors(600, 7)
+    v[::3] = v[0] * np.linspace(1, 2, 200)[:, None]
+    odd = [(9000, None), (9001, [0.0] * 64), (9002, [1.0, 2.0]), (9003, [float("nan")] * 64), (9004, [])]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + odd, CURVED).withColumn("class", F.lit(1)).withColumn("key", F.lit(2))
+    found = collections.defaultdict(list)
+    for i, j in rows(nearest.curve_ids(df, window=100), "id", "near_id"):
+        found[i].append(j)
+    assert set(found) == set(range(600))
+    smallest = list(range(0, 33, 3))
+    assert all(found[i] == [j for j in smallest if j != i][:10] for i in range(0, 600, 3))
+    assert rows(nearest.curve_pairs(df, 0.85), "id_a", "id_b") == rows(nearest.similar_pairs(df, 0.85), "id_a", "id_b")
+    assert nearest.curve_ids(df.limit(0)).count() == nearest.curve_pairs(df.limit(0), 0.85).count() == 0
+    assert nearest.recall(df, F.col("id") < 50).first()["recall"] == 1
+
+
 def test_hilbert_is_a_walk():
     """Each step of the curve goes to a neighbouring cell, and every cell is met once."""
     points = np.array(list(itertools.product(range(8), repeat=3)))
