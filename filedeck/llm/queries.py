@@ -61,6 +61,16 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.pieces(table(spark, d, "chunks").select("id", "section_path", "chunk_type", "text"))
 
 
+def p4_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """The texts that the pieces give when put together again, and whether limit and stated overlap were kept."""
+    found = p4_pieces(spark, d)
+    kind = found.filter("piece_no = 1").select("id", "chunk_type")
+    at = lambda values: F.when(F.col("chunk_type") == "table", values["table"]).otherwise(values["paragraph"])
+    low, high = at(splitting.OVERLAPS) - at(splitting.TOLERANCES), at(splitting.OVERLAPS) + at(splitting.TOLERANCES)
+    kept = (F.col("least_shared") >= low) & (F.col("most_shared") <= high)
+    return splitting.rebuilt(found).join(kind, "id").select("id", F.md5("text").alias("text_md5"), (F.col("most") <= at(splitting.LIMITS)).alias("within"), kept.alias("overlap_kept"))
+
+
 def _defects(spark: SparkSession, d: str) -> DataFrame:
     return pairs.defects(table(spark, d, "baseline_items").select(F.col("item_id").alias("id"), "question", "answer"))
 
@@ -137,7 +147,7 @@ def p8_stretches(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumnRenamed("id", "doc_id").withColumn("confidence", F.round("confidence", 4))
 
 
-NAMES = (p1_found, p1_links, p2_found, p2_clean, p3_found, p3_topk, p3_recall, p4_found, p4_pieces, p5_found, p5_defects, p6_pack, p6_program, p6_containers, p7_found, p7_matches, p7_clean, p8_found, p8_languages, p8_stretches)
+NAMES = (p1_found, p1_links, p2_found, p2_clean, p3_found, p3_topk, p3_recall, p4_found, p4_pieces, p4_rebuilt, p5_found, p5_defects, p6_pack, p6_program, p6_containers, p7_found, p7_matches, p7_clean, p8_found, p8_languages, p8_stretches)
 
 
 def queries() -> dict:

@@ -1,16 +1,17 @@
 """Cutting oversized texts into overlapping pieces at natural boundaries.
 
-Possible cuts of a text carry a penalty: after a line (or table row) none, after a sentence little,
+Possible ends of a piece carry a penalty: after a line (or table row) none, after a sentence little,
 after a blank more, anywhere else most; each of the last two is offered only where nothing better
-comes within a quarter of the limit. A piece ends at a cut e and the next one begins at a place fixed by
-e alone: the first line or sentence start within the `overlap` characters before e, else the last
-such start within half the limit, else exactly `overlap` characters before e. A dynamic program over
-the cuts then minimises the sum of penalties and of squared deviations from equal sizes, subject to
-the limit.
+comes within a quarter of the limit. The next piece begins `overlap` characters before that end: at the line or
+sentence start nearest below or above that place if it is at most `tolerance` characters away, else exactly there, which costs
+a penalty too. A dynamic program over the ends and these beginnings then minimises the sum of penalties and of squared
+deviations from equal sizes, subject to the limit.
+
+So any two neighbours share `overlap` characters, or between overlap - tolerance and overlap + tolerance where a
+line or sentence begins there. An overlap above half the limit counts as half, a tolerance above a quarter of the overlap as a quarter.
 
 Nulls and texts within their limit are not cut and give no piece. Pieces are exact substrings;
-the first begins at 0, the last ends at the text's end, and each piece but the first shares
-`overlap` > 0 characters with the one before. Repeated rows are cut alike.
+the first begins at 0, the last ends at the text's end. Repeated rows are cut alike.
 """
 
 from __future__ import annotations
@@ -22,10 +23,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Characters a piece may have, and characters two neighbours share where nothing natural is near.
+#: Characters a piece may have, characters two neighbours share, and how far from that a natural beginning may be.
 LIMITS = {"table": 1500, "paragraph": 900}
 OVERLAPS = {"table": 150, "paragraph": 90}
+TOLERANCES = {"table": 37, "paragraph": 22}
 LINE, SENTENCE, BLANK, ANYWHERE = 0.0, 0.05, 0.5, 2.0
+#: Penalty of a beginning inside a line or sentence.
+INSIDE = 0.25
 SENTENCE_END = re.compile(r"(?<=[.!?。！？])[\"'”’)\]]*\s+|(?<=[。！？])")
 GAP = re.compile(r"\s+")
 
@@ -55,45 +59,46 @@ def _gaps(at: dict[int, float], step: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in zip(places, places[1:]) if b - a > step]
 
 
-def starts_after(places: np.ndarray, penalties: np.ndarray, limit: int, overlap: int) -> np.ndarray:
-    """For each cut, where the piece after it begins."""
-    natural = places[penalties <= SENTENCE]
-    first = np.searchsorted(natural, places - overlap, "left")
-    before = np.searchsorted(natural, places, "left")
-    out = np.maximum(places - overlap, 0)
-    near = first < before
-    out[near] = natural[first[near]]
-    far = ~near & (first > 0)
-    far[far] = natural[first[far] - 1] > places[far] - limit // 2
-    out[far] = natural[first[far] - 1]
-    return out
+def beginnings(places: np.ndarray, penalties: np.ndarray, overlap: int, tolerance: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each end two places [ends, 2] where the piece after it may begin, and what they cost (inf: none there)."""
+    natural = np.r_[0, places[penalties <= SENTENCE]]
+    wanted = places - overlap
+    above = np.searchsorted(natural, wanted, "left")
+    at = np.stack([natural[np.maximum(np.searchsorted(natural, wanted, "right") - 1, 0)], natural[np.minimum(above, len(natural) - 1)]], 1)
+    away = np.abs(at - wanted[:, None])
+    cost = np.where(away <= tolerance, 0.0, np.inf)
+    none = ~np.isfinite(cost).any(1)
+    at[none, 0], cost[none, 0] = wanted[none], INSIDE
+    return at, cost
 
 
-def cuts(text: str, kind: str, limit: int, overlap: int) -> list[tuple[int, int]]:
+def cuts(text: str, kind: str, limit: int, overlap: int, tolerance: int | None = None) -> list[tuple[int, int]]:
     """(begin, end) of the pieces of a text longer than its limit."""
     n = len(text)
     overlap = min(overlap, limit // 2)
+    tolerance = min(TOLERANCES[kind] if tolerance is None else tolerance, overlap // 4)
     places, penalties = boundaries(text, kind == "table", max(1, limit // 4))
-    begins = starts_after(places, penalties, limit, overlap)
-    reach = np.maximum.accumulate(begins)  # for the window only; begins rise but for short steps back
+    begins, extra = beginnings(places, penalties, overlap, tolerance)
+    least = overlap + tolerance + 1  # what a piece needs so that the next one begins after it
     count = max(2, -(-(n - overlap) // max(1, limit - overlap)))
     ideal = (n + (count - 1) * overlap) / count
-    best, back = np.full(len(places), np.inf), np.full(len(places), -1)
+    best, back = np.full(len(places), np.inf), np.full((len(places), 2), -1)
     for i, e in enumerate(places):
-        if e <= limit:
+        if least <= e <= limit:
             best[i] = ((e - ideal) / limit) ** 2
-        j = np.searchsorted(reach[:i], e - limit, "left")
+        j = np.searchsorted(places[:i], e - limit + overlap - tolerance, "left")
         if j < i:
             size = e - begins[j:i]
-            cost = best[j:i] + np.where(size <= limit, ((size - ideal) / limit) ** 2, np.inf)
+            fits = (size <= limit) & ((size >= least) | (e == n))
+            cost = np.where(fits, best[j:i, None] + extra[j:i] + ((size - ideal) / limit) ** 2, np.inf)
             k = int(np.argmin(cost))
-            if cost[k] < best[i]:
-                best[i], back[i] = cost[k], j + k
+            if cost.flat[k] < best[i]:
+                best[i], back[i] = cost.flat[k], (j + k // 2, k % 2)
         best[i] += penalties[i]
     out, i = [], len(places) - 1
     while i >= 0:
-        j = back[i]
-        out.append((int(begins[j]) if j >= 0 else 0, int(places[i])))
+        j, o = back[i]
+        out.append((int(begins[j, o]) if j >= 0 else 0, int(places[i])))
         i = j
     return out[::-1]
 
@@ -106,12 +111,12 @@ def kind_of(chunk_type: Column, text: Column) -> Column:
     return F.when(named.isin("table", "paragraph"), named).otherwise(told)
 
 
-def _pieces(limits: dict[str, int], overlaps: dict[str, int]):
+def _pieces(limits: dict[str, int], overlaps: dict[str, int], tolerances: dict[str, int]):
     def run(frames):
         for f in frames:
             rows = []
             for i, kind, path, text in zip(f["id"], f["chunk_type"], f["section_path"], f["text"]):
-                found = cuts(text, kind, limits[kind], overlaps[kind])
+                found = cuts(text, kind, limits[kind], overlaps[kind], tolerances[kind])
                 for n, (a, b) in enumerate(found, 1):
                     rows.append((i, n, len(found), kind, path, a, b, found[n - 2][1] - a if n > 1 else 0, text[a:b]))
             yield pd.DataFrame(rows, columns=["id", "piece_no", "n_pieces", "chunk_type", "section_path", "begin", "end", "overlap", "text"])
@@ -127,11 +132,20 @@ def oversized(chunks: DataFrame, limits: dict[str, int] | None = None) -> DataFr
     return typed.filter(F.length("text") > F.when(F.col("chunk_type") == "table", limits["table"]).otherwise(limits["paragraph"]))
 
 
-def pieces(chunks: DataFrame, limits: dict[str, int] | None = None, overlaps: dict[str, int] | None = None) -> DataFrame:
+def pieces(chunks: DataFrame, limits: dict[str, int] | None = None, overlaps: dict[str, int] | None = None, tolerances: dict[str, int] | None = None) -> DataFrame:
     """chunks (id, section_path, chunk_type, text) -> the pieces of every chunk above its limit.
 
     piece_no counts from 1; begin and end are places in code points; overlap is the number of
     characters shared with the piece before (0 for the first)."""
-    limits, overlaps = limits or LIMITS, overlaps or OVERLAPS
+    limits, overlaps, tolerances = limits or LIMITS, overlaps or OVERLAPS, tolerances or TOLERANCES
     schema = "id bigint, piece_no int, n_pieces int, chunk_type string, section_path array<string>, begin int, end int, overlap int, text string"
-    return oversized(chunks, limits).mapInPandas(_pieces(limits, overlaps), schema)
+    return oversized(chunks, limits).mapInPandas(_pieces(limits, overlaps, tolerances), schema)
+
+
+def rebuilt(found: DataFrame) -> DataFrame:
+    """(id, text, most, least_shared, most_shared) of pieces: the text they give together, the longest piece, and the
+    fewest and most characters that two neighbours share. The pieces of one text are gathered, never those of several."""
+    own = F.struct("piece_no", F.substr("text", F.col("overlap") + 1).alias("t"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(own)), lambda x: x["t"]), "")
+    shared = F.when(F.col("piece_no") > 1, F.col("overlap"))
+    return found.groupBy("id").agg(text.alias("text"), F.max(F.length("text")).alias("most"), F.min(shared).alias("least_shared"), F.max(shared).alias("most_shared"))

@@ -53,6 +53,7 @@ ORACLES = {
     r AS (SELECT id, near, c, row_number() OVER (PARTITION BY id ORDER BY c DESC, near) AS k FROM s QUALIFY k <= 10)
     SELECT DISTINCT least(id, near) AS id_a, greatest(id, near) AS id_b FROM r WHERE c >= 0.85""",
     "p4_found": f"SELECT id FROM (SELECT id, text, {KIND} AS kind FROM chunks WHERE text IS NOT NULL) WHERE length(text) > CASE kind WHEN 'table' THEN 1500 ELSE 900 END",
+    "p4_rebuilt": f"SELECT id, md5(text) AS text_md5, true AS within, true AS overlap_kept FROM (SELECT id, text, {KIND} AS kind FROM chunks WHERE text IS NOT NULL) WHERE length(text) > CASE kind WHEN 'table' THEN 1500 ELSE 900 END",
     "p7_found": f"WITH {LEAKS} SELECT doc_id, item_id FROM leaks",
     "p7_clean": f"WITH {LEAKS} SELECT doc_id, lang, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM leaks)",
 }

@@ -303,6 +303,27 @@ def test_cuts(text, limit, kind):
     assert back == text
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.text("가ab. \n|。", min_size=300, max_size=900), st.integers(40, 120), st.integers(8, 20), st.integers(0, 5), st.sampled_from(["table", "paragraph"]))
+def test_shared_characters(text, limit, overlap, tolerance, kind):
+    """Exactly the stated overlap, or a line or sentence begins within the tolerance."""
+    tolerance = min(tolerance, overlap // 4)
+    starts = {m.end() for m in re.finditer("\n", text)} | {0}
+    if kind == "paragraph":
+        starts |= {m.end() for m in splitting.SENTENCE_END.finditer(text)}
+    found = splitting.cuts(text, kind, limit, overlap, tolerance)
+    for (_, end), (begin, _) in itertools.pairwise(found):
+        near = [s for s in starts if abs(s - (end - overlap)) <= tolerance]
+        assert begin in near if near else end - begin == overlap
+
+
+def test_pieces_of_words_without_lines():
+    """No line or sentence anywhere: every overlap is the stated one."""
+    for stated in (90, 150, 300):
+        found = splitting.cuts("낱말 " * 3000, "paragraph", 900, stated)
+        assert {end - begin for (_, end), (begin, _) in itertools.pairwise(found)} == {stated}
+
+
 def test_pieces(spark):
     row = "항목 | 1,234 | 5,678"
     table = "구분 | 당기 | 전기\n" + "\n".join(row for _ in range(300))
