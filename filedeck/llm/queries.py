@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filedeck.llm import languages, leakage, near_duplicates, nearest, packing, pairs, repeated_lines, splitting, sql
-from filedeck.session import table
+from filedeck.session import cut, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -29,6 +29,13 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines.repeated(_by_filing(spark, d)).select("id", "line_no")
 
 
+def p2_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Every line in two or more chunks of a filing: its ratio, the test's decision and whether it reaches the level."""
+    texts = _by_filing(spark, d)
+    tests = repeated_lines.assessed(texts, cut(repeated_lines.lines(texts)))
+    return tests.select(F.col("source").alias("rcept_no"), "key", "n_ids", "n", F.round("llr", 4).alias("llr"), "excess", repeated_lines.at_level(5, 0.05).alias("at_level"))
+
+
 def p2_clean(spark: SparkSession, d: str) -> DataFrame:
     """Every chunk text without those lines."""
     texts = _by_filing(spark, d)
@@ -147,7 +154,7 @@ def p8_stretches(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumnRenamed("id", "doc_id").withColumn("confidence", F.round("confidence", 4))
 
 
-NAMES = (p1_found, p1_links, p2_found, p2_clean, p3_found, p3_topk, p3_recall, p4_found, p4_pieces, p4_rebuilt, p5_found, p5_defects, p6_pack, p6_program, p6_containers, p7_found, p7_matches, p7_clean, p8_found, p8_languages, p8_stretches)
+NAMES = (p1_found, p1_links, p2_found, p2_lines, p2_clean, p3_found, p3_topk, p3_recall, p4_found, p4_pieces, p4_rebuilt, p5_found, p5_defects, p6_pack, p6_program, p6_containers, p7_found, p7_matches, p7_clean, p8_found, p8_languages, p8_stretches)
 
 
 def queries() -> dict:

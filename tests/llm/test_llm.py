@@ -147,6 +147,37 @@ def test_ordinary_words_are_no_excess():
     assert repeated_lines.cutoff({0: 100, 400: 3}, 0.05) == 100.0
 
 
+def test_lines_as_frequent_everywhere(spark):
+    """Lines of one rate in all sources: of a thousand tests at most the stated share is called excess."""
+    r = random.Random(12)
+    words = [chr(0xAC00 + i) * 3 for i in range(60)]
+    data = [(100 * s + i, f"s{s}", "\n".join(w for n, w in enumerate(words) if r.random() < 0.02 + 0.002 * n)) for s in range(30) for i in range(100)]
+    df = spark.createDataFrame(data, "id bigint, source string, text string")
+    tests = repeated_lines.assessed(df, repeated_lines.lines(df)).collect()
+    assert len(tests) > 1000 and sum(t["excess"] for t in tests) <= 0.05 * len(tests)
+
+
+def test_lines_in_excess(spark):
+    """A line far more frequent in some sources is in excess there; the level and the rate of false discoveries decide apart."""
+    r = random.Random(13)
+    data = []
+    for s in range(40):
+        for i in range(50):
+            rate = {"가": 0.5 if s < 20 else 0.0, "나": 0.1, "다": 0.16 if s == 3 else 0.08}
+            body = [k * 4 for k, p in rate.items() if r.random() < p]
+            data.append((50 * s + i, f"s{s}", "\n".join([*body, f"본문 {chr(0xAC00 + 50 * s + i)}"])))
+    df = spark.createDataFrame(data, "id bigint, source string, text string")
+    found = repeated_lines.lines(df)
+    at = lambda fdr: {(t["source"], t["key"]) for t in repeated_lines.assessed(df, found, fdr).filter("excess").collect()}
+    strict, usual, loose = at(1e-12), at(0.05), at(0.9)
+    assert strict < loose and strict <= usual <= loose and len(usual) >= 20
+    key = {t["key"]: t["n"] for t in found.filter("first").groupBy("key").agg(F.count("*").alias("n")).collect()}
+    assert sum(key[k] > 400 for _, k in usual) >= 20
+    everything, excess = repeated_lines.repeated(df), repeated_lines.repeated(df, only_excess=True)
+    assert rows(everything, "id", "line_no") == lines_model(data)
+    assert rows(everything.filter("excess"), "id", "line_no") == rows(excess, "id", "line_no") != rows(everything, "id", "line_no")
+
+
 # 3 nearest vectors
 
 
