@@ -6,11 +6,14 @@ the probability of their Jaccard similarity. In each block the seven positions a
 non-zero vectors p of {0,1}^3 and the seven masks are the non-zero vectors v of {0,1}^3: mask v keeps
 the four positions with odd <p, v>. Any two differing positions leave at least one mask untouched,
 so two sketches that differ in at most 3 * PARTS - 1 positions collide under some mask: some block
-holds at most two of the differences. Collisions are candidates; each is then judged exactly.
+holds at most two of the differences. Collisions whose one-bit minimum hashes agree well enough, the same check for
+buckets of every size, are candidates; each is then judged exactly.
 
-Texts with the same set form one class and enter once, so copies never meet in a bucket. A bucket
-above BUCKET classes is not cut: it is split into blocks and all pairs of blocks are compared, each
-pair in its own group.
+Texts are cut into shingles once; sketches, keys and flags are made from the kept sets. Texts with the same set form one
+class and enter once, so copies never meet in a bucket. A bucket above BUCKET classes (a shared template, say) is
+not compared pair by pair: its classes get a second covering with minimum hashes of their own, under which only
+similar ones meet again. What is above BUCKET in that one too is split into blocks and all pairs of blocks are compared, each
+pair in its own group, so nothing is dropped.
 
 Nulls, empty texts and texts with fewer than `least` shingles take no part. Ties do not arise:
 every pair is judged by itself. Further columns of the input are ignored.
@@ -20,11 +23,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filedeck.llm.codes import classes as letter_classes
 from filedeck.llm.codes import joined, mix, slices
+from filedeck.operators.skew import salted_join
 from filedeck.session import cut
 
 #: Sketch blocks; with 10 a pair of similarity 0.6 is missed with a probability of about 0.002.
@@ -35,6 +40,7 @@ POINTS = np.arange(1, 8)
 #: MASKS[v - 1]: the four positions of a block that mask v keeps.
 MASKS = np.array([[p - 1 for p in POINTS if bin(p & v).count("1") % 2] for v in POINTS])
 FLAGS = 64
+NO_ID = -(2**63)
 #: Bytes kept of a shingle's hash where two sets are compared.
 KEPT = 5
 #: Characters that one task turns into sets at once.
@@ -137,57 +143,45 @@ def flags_of(flat: np.ndarray, starts: np.ndarray, seed: int = 91) -> np.ndarray
     return out
 
 
-def _members(size: int, least: int):
-    """(id, class, n): the class of each text that takes part."""
+def _shingled(size: int, least: int):
+    """(id, class, n, s) of each text that takes part; s, its hashes packed to KEPT bytes each, once for each class in a batch."""
 
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "text", AT_ONCE):
-                rows, h, _, _, n = _sets_of(batch, size, least)
-                if len(rows):
-                    yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows)), pa.array(h), pa.array(n.astype(np.int32))], ["id", "class", "n"])
-
-    return run
-
-
-def _emit(size: int, least: int, parts: int):
-    """A row (key, class, flags) for each mask of each class in a batch."""
-
-    def run(batches):
-        for whole in batches:
-            for batch in slices(whole, "text", AT_ONCE):
-                rows, h, flat, starts, _ = _sets_of(batch, size, least)
+                rows, h, flat, starts, n = _sets_of(batch, size, least)
                 if not len(rows):
                     continue
-                keys, flags = keys_of(sketch(flat, starts, parts), parts), flags_of(flat, starts).view(np.int64)
-                _, first = np.unique(h, return_index=True)  # copies enter once
-                keys, n = keys[first], keys.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(h[first], n)), pa.array(np.repeat(flags[first], n))], ["key", "id", "flags"])
+                _, first = np.unique(h, return_index=True)
+                own = np.zeros(len(rows), bool)
+                own[first] = True
+                data = np.ascontiguousarray(flat.view(np.uint8).reshape(-1, 8)[np.repeat(own, n), :KEPT]).tobytes()
+                offsets = (np.r_[0, np.cumsum(np.where(own, n, 0))] * KEPT).astype(np.int32)
+                packed = pa.BinaryArray.from_buffers(pa.binary(), len(rows), [pa.array(own).buffers()[1], pa.py_buffer(offsets), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows)), pa.array(h), pa.array(n.astype(np.int32)), packed], ["id", "class", "n", "s"])
 
     return run
 
 
-def _packed(size: int, least: int):
-    """(class, s): each class in a batch once, its hashes packed to KEPT bytes each."""
+def _emit(parts: int, seed: int):
+    """(class, s) -> a row (key, id, flags) for each mask of each class."""
 
     def run(batches):
         for whole in batches:
-            for batch in slices(whole, "text", AT_ONCE):
-                rows, h, flat, starts, n = _sets_of(batch, size, least)
-                if not len(rows):
-                    continue
-                data = np.ascontiguousarray(flat.view(np.uint8).reshape(-1, 8)[:, :KEPT]).tobytes()
-                offsets = np.r_[starts, starts[-1] + n[-1]].astype(np.int32) * KEPT
-                packed = pa.BinaryArray.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
-                _, first = np.unique(h, return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h[first]), packed.take(pa.array(first))], ["class", "s"])
+            for at in range(0, whole.num_rows, 4000):
+                batch = whole.slice(at, 4000)
+                flat, n = _unpack(batch.column("s"))
+                starts = np.r_[0, np.cumsum(n)[:-1]].astype(np.int64)
+                keys, flags = keys_of(sketch(flat, starts, parts, seed), parts), flags_of(flat, starts).view(np.int64)
+                name, m = batch.column("class").to_numpy(zero_copy_only=False), keys.shape[1]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(name, m)), pa.array(np.repeat(flags, m))], ["key", "id", "flags"])
 
     return run
 
 
 def _unpack(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(flat hashes, sizes) of a column of packed sets."""
-    sizes = np.array([len(x) for x in (b.as_py() for b in column)], np.int64) // KEPT
+    sizes = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // KEPT
     raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, KEPT)
     flat = np.zeros((len(raw), 8), np.uint8)
     flat[:, :KEPT] = raw
@@ -222,29 +216,27 @@ def _unlike(x: np.ndarray, y: np.ndarray, limit: int) -> np.ndarray:
 def _pairs(limit: int, bucket: int):
     """Runs of equal keys in sorted batches become pairs; a run above `bucket` leaves its rows with b null."""
 
+    def hot(ids, key, flags):
+        return ids, np.full(len(ids), NO_ID), key, flags
+
     def of(key, ids, flags, hot_key):
         edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
         size = np.diff(edge)
         large = (size > bucket) | (key[edge[:-1]] == hot_key if hot_key is not None else False)
-        a, b, k = [], [], []
+        out = []
         for n in np.unique(size[(size > 1) & ~large]):
             at = edge[:-1][(size == n) & ~large]
             i, j = np.triu_indices(n, 1)
             step = max(1, 2_000_000 // len(i))
             for s in range(0, len(at), step):
                 x, y = (at[s : s + step, None] + i).ravel(), (at[s : s + step, None] + j).ravel()
-                fine = (ids[x] != ids[y]) & ~_unlike(flags[x], flags[y], limit)  # copies from other batches share an id
+                fine = (ids[x] != ids[y]) & ~_unlike(flags[x], flags[y], limit)
                 x, y = ids[x[fine]], ids[y[fine]]
-                a.append(np.minimum(x, y)), b.append(np.maximum(x, y)), k.append(np.zeros(len(x), np.int64))
-        for at, n in zip(edge[:-1][large], size[large]):
-            a.append(ids[at : at + n]), b.append(np.full(n, -(2**63))), k.append(key[at : at + n])
-        if not a:
-            return None
-        a, b, k = map(np.concatenate, (a, b, k))
-        hot = b == -(2**63)
-        both = np.unique(np.stack([a[~hot], b[~hot]], 1), axis=0) if (~hot).any() else np.empty((0, 2), np.int64)
-        a, b, k, hot = np.r_[both[:, 0], a[hot]], np.r_[both[:, 1], b[hot]], np.r_[np.zeros(len(both), np.int64), k[hot]], np.r_[np.zeros(len(both), bool), hot[hot]]
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64(), mask=hot), pa.array(k, pa.int64())], ["id_a", "id_b", "key"])
+                both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
+                none = np.zeros(len(both), np.int64)
+                out.append((both[:, 0], both[:, 1], none, none))
+        out += [hot(ids[at : at + n], key[at : at + n], flags[at : at + n]) for at, n in zip(edge[:-1][large], size[large])]
+        return _batch(*map(np.concatenate, zip(*out))) if out else None
 
     def run(batches):
         rest = hot_key = None
@@ -259,24 +251,36 @@ def _pairs(limit: int, bucket: int):
                 yield out
             rest = [x[last:] for x in now]
             if len(rest[0]) > 50_000:  # a hot run: its rows go out as they come
-                k, i, _ = rest
-                yield pa.RecordBatch.from_arrays([pa.array(i), pa.nulls(len(i), pa.int64()), pa.array(k)], ["id_a", "id_b", "key"])
-                rest, hot_key = [x[-1:] for x in rest], k[-1]
+                key, ids, flags = rest
+                yield _batch(*hot(ids[:-1], key[:-1], flags[:-1]))
+                rest, hot_key = [x[-1:] for x in rest], key[-1]
         if rest is not None and len(rest[0]) and (out := of(*rest, hot_key)):
             yield out
 
     return run
 
 
-def _blocks(hot: DataFrame, bucket: int) -> DataFrame:
-    """All pairs of the rows (key, id) of large buckets, by blocks: each pair of blocks is a group of its own."""
-    sized = hot.distinct().join(hot.distinct().groupBy("key").agg(F.ceil(F.count("*") / bucket).cast("int").alias("n")), "key")
+def _batch(a, b, key, flags) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64(), mask=b == NO_ID), pa.array(key, pa.int64()), pa.array(flags, pa.int64())], ["id_a", "id_b", "key", "flags"])
+
+
+def _met(sets: DataFrame, parts: int, seed: int, limit: int, bucket: int) -> DataFrame:
+    """(id_a, id_b, key, flags): pairs that meet in a bucket; rows of buckets above `bucket` with id_b null."""
+    keyed = sets.mapInArrow(_emit(parts, seed), "key bigint, id bigint, flags bigint")
+    ordered = keyed.repartition("key").sortWithinPartitions("key")
+    return cut(ordered.mapInArrow(_pairs(limit, bucket), "id_a bigint, id_b bigint, key bigint, flags bigint").distinct())
+
+
+def _blocks(hot: DataFrame, bucket: int, limit: int) -> DataFrame:
+    """The pairs of rows (key, id, flags) of large buckets that the one-bit check lets through, by blocks: each pair of blocks is a group of its own."""
+    sized = hot.join(hot.groupBy("key").agg(F.ceil(F.count("*") / bucket).cast("int").alias("n")), "key")
     own = sized.withColumn("own", F.pmod(F.xxhash64("id", "key"), F.col("n")).cast("int"))
-    spread = own.select("key", "id", "own", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
-    at = spread.select("key", "id", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
-    left = at.filter("own = x").select("key", "x", "y", F.col("id").alias("l"))
-    right = at.filter("own = y").select("key", "x", "y", F.col("id").alias("r"))
-    met = left.join(right, ["key", "x", "y"]).filter("l <> r")
+    spread = own.select("key", "id", "flags", "own", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
+    at = spread.select("key", "id", "flags", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    left = at.filter("own = x").select("key", "x", "y", F.col("id").alias("l"), F.col("flags").alias("f"))
+    right = at.filter("own = y").select("key", "x", "y", F.col("id").alias("r"), F.col("flags").alias("g"))
+    alike = (F.col("l") != F.col("r")) & (F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= limit)
+    met = left.join(right, ["key", "x", "y"]).filter(alike)
     return met.select(F.least("l", "r").alias("id_a"), F.greatest("l", "r").alias("id_b"))
 
 
@@ -287,30 +291,34 @@ def similar_pairs(texts: DataFrame, threshold: float = 0.8, least: int = 1, size
     Similarity is Jaccard over `size`-word shingles (their hashes, KEPT bytes long), taken for every candidate.
     Texts with fewer than `least` shingles, nulls and blanks are in neither table."""
     texts = texts.select(F.col("id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text"))
-    least = max(least, 1)
-    members = texts.mapInArrow(_members(size, least), "id bigint, class bigint, n int")
-    keyed = texts.select("id", "text").mapInArrow(_emit(size, least, parts), "key bigint, id bigint, flags bigint")
+    shingled = cut(texts.mapInArrow(_shingled(size, max(least, 1)), "id bigint, class bigint, n int, s binary"))
+    sets = shingled.filter("s is not null").select("class", "s").dropDuplicates(["class"])
     # One-bit hashes differ with probability (1 - j) / 2: four deviations beyond the mean of a pair at the threshold.
     p = (1 - threshold) / 2
     limit = int(np.ceil(FLAGS * p + 3.6 * np.sqrt(FLAGS * p * (1 - p))))
-    shuffled = keyed.repartition("key").sortWithinPartitions("key")
-    met = cut(shuffled.mapInArrow(_pairs(limit, bucket), "id_a bigint, id_b bigint, key bigint").distinct())
+    met = _met(shingled.filter("s is not null").select("class", "s"), parts, 7, limit, bucket)
     candidates = met.filter("id_b is not null").select("id_a", "id_b")
-    hot = met.filter("id_b is null").select("key", F.col("id_a").alias("id"))
-    candidates = candidates.unionByName(_blocks(hot, bucket)).distinct()
-    sets = texts.mapInArrow(_packed(size, least), "class bigint, s binary").dropDuplicates(["class"])
+    hot = met.filter("id_b is null")
+    if not hot.isEmpty():
+        again = _met(sets.join(hot.select(F.col("id_a").alias("class")).distinct(), "class", "left_semi"), parts, 1007, limit, bucket)
+        rest = again.filter("id_b is null").select("key", F.col("id_a").alias("id"), "flags")
+        candidates = candidates.unionByName(again.filter("id_b is not null").select("id_a", "id_b")).unionByName(_blocks(rest, bucket, limit))
+    candidates = candidates.distinct()
     left = sets.select(F.col("class").alias("id_a"), F.col("s").alias("s_a"))
     right = sets.select(F.col("class").alias("id_b"), F.col("s").alias("s_b"))
     near = candidates.join(left, "id_a").join(right, "id_b").filter(F.least(F.length("s_a"), F.length("s_b")) >= threshold * F.greatest(F.length("s_a"), F.length("s_b")))
-    return near.select("id_a", "id_b", "s_a", "s_b").mapInArrow(_judge(threshold), "id_a bigint, id_b bigint, similarity double"), members
+    return near.select("id_a", "id_b", "s_a", "s_b").mapInArrow(_judge(threshold), "id_a bigint, id_b bigint, similarity double"), shingled.select("id", "class", "n")
 
 
 def expand(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """Pairs of ids from pairs of classes, and the pairs within each class of copies."""
+    """Pairs of ids from pairs of classes, and the pairs within each class of copies; a class of many copies over many tasks."""
     left = members.select(F.col("class").alias("id_a"), F.col("id").alias("a"))
     right = members.select(F.col("class").alias("id_b"), F.col("id").alias("b"))
-    across = pairs.select("id_a", "id_b").join(left, "id_a").join(right, "id_b").select("a", "b")
-    within = left.join(right.withColumnRenamed("id_b", "id_a"), "id_a").filter("a < b").select("a", "b")
+    half = salted_join(left, pairs.select("id_a", "id_b"), ["id_a"]).select("a", "id_b")
+    across = salted_join(right, half, ["id_b"]).select("a", "b")
+    several = members.groupBy("class").count().filter("count > 1").select("class")
+    copies = members.join(several, "class", "left_semi")
+    within = salted_join(copies.select("class", F.col("id").alias("a")), copies.select("class", F.col("id").alias("b")), ["class"]).filter("a < b").select("a", "b")
     return across.unionByName(within).select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))
 
 
@@ -320,5 +328,5 @@ def links(pairs: DataFrame, members: DataFrame) -> DataFrame:
     sizes = members.groupBy("class").agg(F.min("id").alias("class_id"), F.count("*").alias("copies"))
     both = pairs.select(F.col("id_a").alias("class"), F.col("id_b").alias("other")).unionByName(pairs.select(F.col("id_b").alias("class"), F.col("id_a").alias("other")))
     linked = both.join(sizes.select(F.col("class").alias("other"), "copies"), "other").groupBy("class").agg(F.sum("copies").alias("others"))
-    rows = members.join(sizes, "class").join(linked, "class", "left")
+    rows = salted_join(members, sizes.join(linked, "class", "left"), ["class"])
     return rows.select("id", "class_id", "copies", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))

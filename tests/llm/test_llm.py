@@ -76,6 +76,17 @@ def test_near_duplicates_in_full_buckets(spark, copies):
     assert rows(near_duplicates.expand(found, members), "id_a", "id_b") == pairs_model(copies, 2, 50, 0.6)
 
 
+def test_near_duplicates_in_a_template(spark):
+    """A third of all texts share a template but too little else: all meet in a bucket, none is a pair, and the true pairs among them stay."""
+    r = random.Random(6)
+    frame = " ".join(f"틀{i}" for i in range(40))
+    data = [(i, frame + " " + " ".join(str(r.randrange(10**8)) for _ in range(60))) for i in range(300)]
+    data += [(1000 + i, t + " 끝") for i, t in data[::10]]
+    for bucket in (16, 256):
+        found, members = near_duplicates.similar_pairs(spark.createDataFrame(data, SCHEMA), 0.6, 50, 2, bucket=bucket)
+        assert rows(near_duplicates.expand(found, members), "id_a", "id_b") == [(i, 1000 + i) for i in range(0, 300, 10)]
+
+
 def test_near_duplicates_of_nothing(spark):
     found, members = near_duplicates.similar_pairs(spark.createDataFrame([], SCHEMA))
     assert found.count() == members.count() == near_duplicates.links(found, members).count() == 0
