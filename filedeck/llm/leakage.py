@@ -9,25 +9,32 @@ characters after it. Suffixes are compared on that many characters, then each hi
 both directions to its full length on the real characters, so nothing is missed and nothing is
 reported that does not match.
 
-Passages go to the tasks in blocks of at most BLOCK characters, a broadcast of bounded size; each
-block is one pass over the documents. Nulls and texts shorter than `shortest` match nothing; equal
+The passages are written once to the shared checkpoint folder, by Spark's tasks; none goes through the driver. There is one pass
+over the documents: each task makes the suffix array of a shard once and streams the passages past it in blocks of at most
+BLOCK characters. Hits are followed AT_ONCE at a time and reduced to the best of each document and passage, so a run of characters
+that many passages and documents share costs time but no memory. Nulls and texts shorter than `shortest` match nothing; equal
 passages report each of their ids; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filedeck.llm.codes import classes, joined, slices
+from filedeck.session import checkpoint_folder, cut
 
 STRIDE = 16
-#: Characters of passages in one broadcast.
+#: Characters of passages that are searched for at once.
 BLOCK = 4_000_000
+#: Hits followed at once.
+AT_ONCE = 1_000_000
 #: Characters of documents in one suffix array.
 SHARD = 8_000_000
 
@@ -71,51 +78,92 @@ def _extend(c: np.ndarray, p: np.ndarray, x: np.ndarray, y: np.ndarray, step: in
     return n
 
 
-def _matches(c: np.ndarray, p: np.ndarray, p_keys: np.ndarray, p_at: np.ndarray, shortest: int, stride: int):
-    """(text, passage, length, place in text, place in passage) of the longest match of each pair."""
-    n = shortest - stride + 1
-    at = _places(c, n, stride)
-    none = tuple(np.zeros(0, np.int64) for _ in range(5))
-    if not len(at) or not len(p_at):
-        return none
-    suffixes = _keys(c, at, n)
-    order = np.argsort(suffixes, kind="stable")
-    suffixes, at = suffixes[order], at[order]
-    low, high = np.searchsorted(suffixes, p_keys, "left"), np.searchsorted(suffixes, p_keys, "right")
-    hits = np.flatnonzero(high > low)
-    counts = (high - low)[hits]
-    y = np.repeat(p_at[hits], counts)
-    x = at[np.repeat(low[hits], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)]
-    back = _extend(c, p, x, y, -1)
-    x, y = x - back, y - back
-    x, y = np.unique(np.stack([x, y], 1), axis=0).T if len(x) else (x, y)
-    length = _extend(c, p, x, y, 1)
-    keep = length >= shortest
-    x, y, length = x[keep], y[keep], length[keep]
-    if not len(x):
-        return none
-    text, passage = _text_of(c)[x], _text_of(p)[y]
-    starts, p_starts = np.r_[0, np.flatnonzero(c == 0) + 1], np.r_[0, np.flatnonzero(p == 0) + 1]
-    order = np.lexsort((x, -length, passage, text))
+def _best(found: list[np.ndarray]) -> list[np.ndarray]:
+    """Of matches (text, passage, length, x, y) the longest of each text and passage, the first of equals."""
+    text, passage, length, x, y = (np.concatenate(v) for v in zip(*found))
+    order = np.lexsort((y, x, -length, passage, text))
     text, passage, length, x, y = (v[order] for v in (text, passage, length, x, y))
-    first = np.r_[True, (text[1:] != text[:-1]) | (passage[1:] != passage[:-1])]
-    text, passage, length, x, y = (v[first] for v in (text, passage, length, x, y))
-    return text, passage, length, x - starts[text], y - p_starts[passage]
-
-
-def _search(block, shortest: int, stride: int):
+    first = np.r_[True, (text[1:] != text[:-1]) | (passage[1:] != passage[:-1])] if len(text) else np.zeros(0, bool)
+    return [v[first] for v in (text, passage, length, x, y)]
+
+
+class Block:
+    """Passages whose suffixes are ready to be searched for, in sorted order so that neighbouring searches touch neighbouring suffixes."""
+
+    def __init__(self, ids: np.ndarray, texts: list[str], n: int):
+        self.ids, self.c = ids, characters(texts)
+        self.text, self.starts = _text_of(self.c), np.r_[0, np.flatnonzero(self.c == 0) + 1]
+        at = _places(self.c, n, 1)
+        keys = _keys(self.c, at, n) if len(at) else np.zeros(0, f"S{2 * n}")
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.at = keys[order], at[order]
+
+
+class Shard:
+    """Documents and the sorted array of their sparse suffixes."""
+
+    def __init__(self, texts: list[str | None], n: int, stride: int):
+        self.c = characters(texts)
+        self.text, self.starts = _text_of(self.c), np.r_[0, np.flatnonzero(self.c == 0) + 1]
+        at = _places(self.c, n, stride)
+        keys = _keys(self.c, at, n) if len(at) else np.zeros(0, f"S{2 * n}")
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.at = keys[order], at[order]
+
+    def matches(self, block: Block, shortest: int, at_once: int = AT_ONCE) -> list[np.ndarray]:
+        """[text, passage, length, place in text, place in passage] of the longest match of each pair."""
+        best = [np.zeros(0, np.int64)] * 5
+        low, high = np.searchsorted(self.keys, block.keys, "left"), np.searchsorted(self.keys, block.keys, "right")
+        hits = np.flatnonzero(high > low)
+        low, counts, own = low[hits], (high - low)[hits], block.at[hits]
+        ends = np.cumsum(counts)
+        a = 0
+        while a < len(hits):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + at_once, "right")))
+            n = counts[a:b]
+            y = np.repeat(own[a:b], n)
+            x = self.at[np.repeat(low[a:b], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+            back = _extend(self.c, block.c, x, y, -1)
+            x, y = np.unique(np.stack([x - back, y - back], 1), axis=0).T
+            length = _extend(self.c, block.c, x, y, 1)
+            keep = length >= shortest
+            x, y, length = x[keep], y[keep], length[keep]
+            text, passage = self.text[x], block.text[y]
+            best = _best([best, [text, passage, length, x - self.starts[text], y - block.starts[passage]]])
+            a = b
+        return best
+
+
+def _blocks(files: list[str], n: int, most: int):
+    """The passages in the files, block after block."""
+    ids, texts, size = [], [], 0
+    for uri in files:
+        system, path = pa.fs.FileSystem.from_uri(uri)
+        with system.open_input_file(path) as f:
+            for batch in pq.ParquetFile(f).iter_batches(1024, columns=["id", "passage"]):
+                for i, text in zip(batch.column("id").to_pylist(), batch.column("passage").to_pylist()):
+                    if ids and size + len(text) > most:
+                        yield Block(np.array(ids, np.int64), texts, n)
+                        ids, texts, size = [], [], 0
+                    ids.append(i), texts.append(text)
+                    size += len(text)
+    if ids:
+        yield Block(np.array(ids, np.int64), texts, n)
+
+
+def _search(files: list[str], shortest: int, stride: int, most: int):
     def run(batches):
-        ids, p = block.value
         n = shortest - stride + 1
-        p_at = _places(p, n, 1)
-        p_keys = _keys(p, p_at, n) if len(p_at) else p_at
-        order = np.argsort(p_keys, kind="stable")  # neighbouring searches then touch neighbouring suffixes
-        p_keys, p_at = p_keys[order], p_at[order]
+        kept = None  # a single block stays ready from shard to shard
         for whole in batches:
             for batch in slices(whole, "text", SHARD):
-                c = characters(batch.column("text").to_pylist())
-                text, passage, length, x, y = _matches(c, p, p_keys, p_at, shortest, stride)
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(text)), pa.array(ids[passage]), *(pa.array(v) for v in (length, x, y))], ["doc_id", "item_id", "length", "doc_at", "item_at"])
+                shard, seen = Shard(batch.column("text").to_pylist(), n, stride), 0
+                for block in [kept] if kept else _blocks(files, n, most):
+                    text, passage, length, x, y = shard.matches(block, shortest)
+                    yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(text)), pa.array(block.ids[passage]), *(pa.array(v) for v in (length, x, y))], ["doc_id", "item_id", "length", "doc_at", "item_at"])
+                    seen += 1
+                if seen == 1:
+                    kept = block
 
     return run
 
@@ -125,23 +173,16 @@ def leaks(documents: DataFrame, items: DataFrame, shortest: int = 60, stride: in
 
     One row for each document and item with at least `shortest` letters or digits in a row in common:
     the longest such match (the first of equals) and where it begins, counted in letters and digits."""
-    stride = min(stride, shortest)
+    spark, stride = documents.sparkSession, min(stride, shortest)
     texts = documents.select(F.col("id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text"))
-    made, ids, parts, size = [], [], [], 0
-
-    def search():
-        value = documents.sparkSession.sparkContext.broadcast((np.array(ids, np.int64), characters(parts)))
-        made.append(texts.mapInArrow(_search(value, shortest, stride), "doc_id bigint, item_id bigint, length bigint, doc_at bigint, item_at bigint"))
-
-    for row in items.filter("passage is not null").select(F.col("id").cast("bigint"), "passage").toLocalIterator():
-        if ids and size + len(row["passage"]) > block:
-            search()
-            ids, parts, size = [], [], 0
-        ids.append(row["id"]), parts.append(row["passage"])
-        size += len(row["passage"])
-    if ids or not made:
-        search()
-    return reduce(DataFrame.unionByName, made)
+    folder = f"{checkpoint_folder(spark).rstrip('/')}/leakage-{uuid.uuid4().hex}"
+    items.filter("passage is not null").select(F.col("id").cast("bigint").alias("id"), F.col("passage").cast("string").alias("passage")).write.parquet(folder)
+    try:
+        files = sorted(spark.read.schema("id bigint, passage string").parquet(folder).inputFiles())
+        return cut(texts.mapInArrow(_search(files, shortest, stride, block), "doc_id bigint, item_id bigint, length bigint, doc_at bigint, item_at bigint"))
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def without_leaks(documents: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -55,5 +55,10 @@ ORACLES = {
     "p4_found": f"SELECT id FROM (SELECT id, text, {KIND} AS kind FROM chunks WHERE text IS NOT NULL) WHERE length(text) > CASE kind WHEN 'table' THEN 1500 ELSE 900 END",
     "p4_rebuilt": f"SELECT id, md5(text) AS text_md5, true AS within, true AS overlap_kept FROM (SELECT id, text, {KIND} AS kind FROM chunks WHERE text IS NOT NULL) WHERE length(text) > CASE kind WHEN 'table' THEN 1500 ELSE 900 END",
     "p7_found": f"WITH {LEAKS} SELECT doc_id, item_id FROM leaks",
+    "p7_matches": f"""WITH {LEAKS}, t AS (SELECT doc_id, item_id, d.t AS a, e.t AS b FROM leaks JOIN d USING (doc_id) JOIN e USING (item_id)),
+    starts AS (SELECT doc_id, item_id, a, b, unnest(range(1, length(b) - 58)) AS s FROM t),
+    runs AS (SELECT doc_id, item_id, a, b, s, list_max(list_filter(range(60, length(b) - s + 2), lambda n: contains(a, substring(b, s, n)))) AS n FROM starts WHERE contains(a, substring(b, s, 60))),
+    best AS (SELECT doc_id, item_id, max(n) AS length, arg_min({{'a': a, 's': s, 'b': b, 'n': n}}, (-n, strpos(a, substring(b, s, n)), s)) AS w FROM runs GROUP BY doc_id, item_id)
+    SELECT doc_id, item_id, length, strpos(w.a, substring(w.b, w.s, w.n)) - 1 AS doc_at, w.s - 1 AS item_at FROM best""",
     "p7_clean": f"WITH {LEAKS} SELECT doc_id, lang, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM leaks)",
 }

@@ -569,6 +569,18 @@ def test_leaks(spark):
     assert leakage.leaks(a, b.limit(0)).count() == leakage.leaks(a.limit(0), b).count() == 0
 
 
+def test_leaks_of_a_common_run(spark):
+    """A run of characters in every passage and document, far more hits than are followed at once."""
+    run = "가나다라마바사아자차" * 6
+    items = [(i, run + f"문항{i}" * 3) for i in range(40)]
+    docs = [(i, f"머리{i} " + run + f"문항{i % 50}" * 3 + " 꼬리") for i in range(120)]
+    shard = leakage.Shard([t for _, t in docs], 20 - 16 + 1, 16)
+    block = leakage.Block(np.arange(40), [t for _, t in items], 20 - 16 + 1)
+    for once in (1, 1000, 10**7):
+        text, passage, length, _, _ = shard.matches(block, 20, once)
+        assert sorted(zip(text.tolist(), passage.tolist(), length.tolist())) == leaks_model(docs, items, 20)
+
+
 # 8 languages
 
 
