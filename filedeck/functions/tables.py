@@ -63,4 +63,5 @@ def reformat_table(text: Column) -> Column:
         return F.array_join(F.transform(s["body"], lambda r: line(s["header"], r)), "\n")
 
     body = F.aggregate(F.slice(table, 2, F.greatest(F.size(table) - 1, F.lit(0))), begin, step, finish)
-    return F.when(F.size(bordered) < 2, text).otherwise(F.concat(F.when(lead.rlike(r"(?U)\S"), F.concat(lead, F.lit("\n"))).otherwise(""), body))
+    said = F.when(~lead.rlike(r"(?U)\S"), body).when(body == "", lead).otherwise(F.concat(lead, F.lit("\n"), body))
+    return F.when(F.size(bordered) < 2, text).otherwise(said)

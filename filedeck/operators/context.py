@@ -15,9 +15,9 @@ NOT_FOUND = "자료에서 찾을 수 없습니다"
 
 
 def passage(rank: Column, corp: Column, path: Column, kind: Column, text: Column, reformat: bool = True) -> Column:
-    """"[1] (corp basis기준 / a > b)\\ntext"; tables reformatted."""
+    """"[1] (corp [basis기준] / a > b)\\ntext", without " / " where the path is empty; tables reformatted."""
     basis = statement_basis(path)
-    head = F.concat(corp, F.when(basis.isNotNull(), F.concat(F.lit(" "), basis, F.lit("기준"))).otherwise(""), F.lit(" / "), path_text(path))
+    head = F.concat(corp, F.when(basis.isNotNull(), F.concat(F.lit(" ["), basis, F.lit("기준]"))).otherwise(""), F.when(F.size(path) > 0, F.concat(F.lit(" / "), path_text(path))).otherwise(""))
     body = F.when(F.lower(F.trim(kind)) == "table", reformat_table(text)).otherwise(text) if reformat else text
     return F.concat(F.lit("["), rank.cast("string"), F.lit("] ("), head, F.lit(")\n"), F.coalesce(body, F.lit("")))
 
@@ -63,6 +63,21 @@ def verified(answers: DataFrame, again) -> DataFrame:
     return answers.filter(sure).unionByName(kept)
 
 
+def rewritten(queries: DataFrame, model, question: str = "question") -> DataFrame:
+    """queries with `search_query`, the question in words better for a search, from model() -> callable(questions), made
+    once in each task; a null or blank answer of the model leaves the question as it is."""
+
+    def run(frames):
+        m = model()
+        for f in frames:
+            made = [str(x or "").strip() for x in m([q or "" for q in f[question]])]
+            f["search_query"] = [x or q for x, q in zip(made, f[question])]
+            yield f
+
+    schema = ", ".join(f"`{n}` {t}" for n, t in queries.dtypes)
+    return queries.mapInPandas(run, f"{schema}, search_query string")
+
+
 def messages(system: str, context: Column, question: Column) -> Column:
     """A prompt as an array of role and content."""
     user = F.concat(F.lit("자료:\n"), context, F.lit("\n\n질문: "), question)

@@ -56,6 +56,11 @@ def latest_by(df: DataFrame, key: str, date: str, tie: str) -> DataFrame:
     return first_by(df, [key], F.desc_nulls_last(date), F.desc(tie))
 
 
+def first_filings(filings: DataFrame, n: int) -> DataFrame:
+    """A limit as a feature: the n filings with the smallest receipt numbers; null numbers come last."""
+    return filings.orderBy(F.asc_nulls_last("rcept_no")).limit(n)
+
+
 def last_values(df: DataFrame, key: str, order: list[Column], columns: list[str]) -> DataFrame:
     """The last value that is not null, of each column by itself, for each key.
 

@@ -8,15 +8,16 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from filedeck.functions.text import PARTICLES, TOKEN, strip_particle, tokens
+from filedeck.functions.text import PARTICLES, TOKEN, strip_particle, terms, tokens
 from filedeck.functions.vectors import cosine, usable
-from filedeck.session import small
+from filedeck.session import cut
 
 RRF_K = 60
 DENSE_WEIGHT, SPARSE_WEIGHT = 0.7, 0.3
@@ -77,9 +78,19 @@ def dense(queries: DataFrame, corpus: DataFrame, k: int = CANDIDATES) -> DataFra
     return ranked(met, k)
 
 
+def split_queries(queries: DataFrame, by: str) -> tuple[DataFrame, DataFrame | None]:
+    """(queries with a filter value, those without one or None): null and '' mean no filter. Looks at the queries only."""
+    free = F.coalesce(F.col(by).cast("string"), F.lit("")) == ""
+    without = queries.filter(free)
+    return queries.filter(~free), None if without.isEmpty() else without
+
+
 def dense_filtered(queries: DataFrame, corpus: DataFrame, by: str, k: int = CANDIDATES) -> DataFrame:
-    """As dense, among the corpus rows with the query's value of `by`; the filter comes before the cut."""
-    return ranked(_within(queries, corpus, by), k)
+    """As dense, among the corpus rows with the query's value of `by`; the filter comes before the cut. Queries
+    without a value meet the whole corpus in blocks."""
+    some, free = split_queries(queries, by)
+    found = ranked(_within(some, corpus, by), k)
+    return found.unionByName(dense(free, corpus, k)) if free is not None else found
 
 
 def _within(queries: DataFrame, corpus: DataFrame, by: str) -> DataFrame:
@@ -99,38 +110,48 @@ def postings(corpus: DataFrame, *keep: str) -> DataFrame:
 def sparse(queries: DataFrame, corpus: DataFrame, k: int = CANDIDATES, by: str | None = None) -> DataFrame:
     """Top k by the inner product of token weights; only rows with a token in common appear.
 
-    With `by`, postings of another value are left out before scoring."""
-    keep = [by] if by else []
+    With `by`, postings of another value are left out before scoring, but for queries without a value."""
+    if by is None:
+        return ranked(_products(queries, corpus), k)
+    some, free = split_queries(queries, by)
+    met = _products(some, corpus, by)
+    return ranked(met.unionByName(_products(free, corpus)) if free is not None else met, k)
+
+
+def _products(queries: DataFrame, corpus: DataFrame, *keep: str) -> DataFrame:
     q = postings(queries.withColumnRenamed("query_id", "id"), *keep).select(*keep, "token", F.col("id").alias("query_id"), F.col("weight").alias("q"))
     met = q.join(postings(corpus, *keep), ["token", *keep])
-    return ranked(met.groupBy("query_id", "id").agg(F.sum(F.col("q") * F.col("weight")).alias("score")), k)
+    return met.groupBy("query_id", "id").agg(F.sum(F.col("q") * F.col("weight")).alias("score"))
 
 
 # Words
 
 
-def token_rows(texts: DataFrame, *keep: str) -> DataFrame:
-    """texts (id, text) -> (id, len, token): a row for each token, without its particle; len counts the text's tokens."""
-    split = texts.select("id", *keep, tokens(F.coalesce("text", F.lit(""))).alias("t"))
-    rows = split.select("id", *keep, F.size("t").alias("len"), F.explode_outer("t").alias("token"))
+def split_texts(texts: DataFrame, *keep: str) -> DataFrame:
+    """texts (id, text) -> (id, t): the tokens of each text without their particles; a null text has none."""
+    return texts.select("id", *keep, terms(F.coalesce("text", F.lit(""))).alias("t"))
+
+
+def token_rows(split: DataFrame, *keep: str) -> DataFrame:
+    """(id, len, token) of split texts: a row for each token; len counts the text's tokens."""
     # explode_outer: for explode Spark would split every text twice, first to drop those without a token
-    return rows.filter("token is not null").withColumn("token", strip_particle(F.col("token")))
+    return split.select("id", *keep, F.size("t").alias("len"), F.explode_outer("t").alias("token")).filter("token is not null")
 
 
-def corpus_size(texts: DataFrame) -> DataFrame:
+def corpus_size(split: DataFrame) -> DataFrame:
     """One row: n_docs and their average length in tokens."""
-    return texts.agg(F.count("*").alias("n_docs"), F.avg(F.size(tokens(F.coalesce("text", F.lit(""))))).alias("avg_len"))
+    return split.agg(F.count("*").alias("n_docs"), F.avg(F.size("t")).alias("avg_len"))
 
 
-def document_frequency(texts: DataFrame) -> DataFrame:
+def document_frequency(split: DataFrame) -> DataFrame:
     """(token, df), counted before the shuffle as far as each task goes: a text's repeats fall out in its row."""
-    once = texts.select(F.explode_outer(F.array_distinct(F.transform(F.array_distinct(tokens(F.coalesce("text", F.lit("")))), strip_particle))).alias("token"))
+    once = split.select(F.explode_outer(F.array_distinct("t")).alias("token"))
     return once.filter("token is not null").groupBy("token").agg(F.count("*").alias("df"))
 
 
-def idf(texts: DataFrame) -> DataFrame:
+def idf(split: DataFrame) -> DataFrame:
     """(token, idf): ln(N - df + 0.5) - ln(df + 0.5); below zero a quarter of the mean over the vocabulary."""
-    raw = document_frequency(texts).crossJoin(F.broadcast(corpus_size(texts)))  # one row
+    raw = document_frequency(split).crossJoin(F.broadcast(corpus_size(split)))  # one row
     raw = raw.withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))  # one row
     return raw.crossJoin(F.broadcast(mean)).select("token", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
@@ -139,21 +160,32 @@ def idf(texts: DataFrame) -> DataFrame:
 def bm25(queries: DataFrame, texts: DataFrame, k: int = CANDIDATES, by: str | None = None) -> DataFrame:
     """queries (query_id, text[, by]), texts (id, text[, by]) -> Okapi top k.
 
-    Repeated query tokens count each time. Statistics are of all texts, also with a filter. Rows without
-    any query token score 0 and fill the list up to k, smallest ids first."""
+    Repeated query tokens count each time. Statistics are of all texts, also with a filter; a query without a filter value
+    meets all texts. Rows without any query token score 0 and fill the list up to k, smallest ids first. Texts are
+    split into tokens once."""
     keep = [by] if by else []
-    q = token_rows(queries.withColumnRenamed("query_id", "id"), *keep).groupBy("id", *keep, "token").agg(F.count("*").alias("times"))
-    asked = small(q.select("token").distinct())
-    tf = token_rows(texts, *keep).join(asked, "token", "left_semi").groupBy("id", *keep, "len", "token").agg(F.count("*").alias("tf"))
+    split = cut(split_texts(texts, *keep))
+    q = cut(token_rows(split_texts(queries.withColumnRenamed("query_id", "id"), *keep), *keep).groupBy("id", *keep, "token").agg(F.count("*").alias("times")))
+    asked = q.select("token").distinct()
+    tf = token_rows(split, *keep).join(asked, "token", "left_semi").groupBy("id", *keep, "len", "token").agg(F.count("*").alias("tf"))
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    weighted = tf.join(idf(texts), "token").crossJoin(F.broadcast(corpus_size(texts))).select("id", *keep, "token", weight.alias("w"))  # one row
-    met = q.withColumnRenamed("id", "query_id").join(weighted, ["token", *keep])
-    scored = met.groupBy("query_id", "id").agg(F.sum(F.col("w") * F.col("times")).alias("score"))
-    fill = _fill(queries, texts, k, by)
-    both = scored.unionByName(fill).groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    weighted = tf.join(idf(split).join(asked, "token", "left_semi"), "token").crossJoin(F.broadcast(corpus_size(split))).select("id", *keep, "token", weight.alias("w"))  # one row
+    some, free = split_queries(queries, by) if by else (None, queries)
+    scored = []
+    if by:
+        mine = q.filter(F.coalesce(F.col(by), F.lit("")) != "").withColumnRenamed("id", "query_id")
+        scored += [_weights(mine.join(weighted, ["token", by])), _fill(some, texts, k, by)]
+    if free is not None:
+        mine = (q.filter(F.coalesce(F.col(by), F.lit("")) == "").drop(by) if by else q).withColumnRenamed("id", "query_id")
+        scored += [_weights(mine.join(weighted.drop(*keep), "token")), _fill(free, texts, k, None)]
+    both = reduce(DataFrame.unionByName, scored).groupBy("query_id", "id").agg(F.max("score").alias("score"))
     return ranked(both, k)
 
 
+def _weights(met: DataFrame) -> DataFrame:
+    return met.groupBy("query_id", "id").agg(F.sum(F.col("w") * F.col("times")).alias("score"))
+
+
 def _fill(queries: DataFrame, texts: DataFrame, k: int, by: str | None) -> DataFrame:
     """The k smallest ids as rows of score 0: more than the scored rows can push out of the list are never needed."""
     if by is None:
@@ -215,12 +247,15 @@ def hybrid(dense_list: DataFrame, sparse_list: DataFrame, k: int = TOP) -> DataF
 
 def hybrid_within(queries: DataFrame, corpus: DataFrame, by: str, k: int = TOP) -> DataFrame:
     """Fusion over all rows with the query's value of `by`, without a candidate cut: rows without a common token
-    have a sparse score of 0, and scores are scaled over all of them. Rows without a usable vector take no part."""
+    have a sparse score of 0, and scores are scaled over all of them. Rows without a usable vector take no part.
+    Queries without a value are answered by hybrid() over the candidates of the whole corpus."""
+    queries, free = split_queries(queries, by)
     both = _within(queries, corpus, by).select("query_id", "id", F.round("score", 6).alias("score"))
     q = postings(queries.withColumnRenamed("query_id", "id"), by).select(by, "token", F.col("id").alias("query_id"), F.col("weight").alias("q"))
     met = q.join(postings(corpus, by), ["token", by]).groupBy("query_id", "id").agg(F.round(F.sum(F.col("q") * F.col("weight")), 6).alias("s"))
     zero = both.join(met, ["query_id", "id"], "left").select("query_id", "id", F.coalesce("s", F.lit(0.0)).alias("score"))
-    return weighted([x.withColumn("rank", F.lit(0)) for x in (both, zero)], [DENSE_WEIGHT, SPARSE_WEIGHT], k)
+    found = weighted([x.withColumn("rank", F.lit(0)) for x in (both, zero)], [DENSE_WEIGHT, SPARSE_WEIGHT], k)
+    return found.unionByName(hybrid(dense(free, corpus), sparse(free, corpus), k)) if free is not None else found
 
 
 def fetch(hits: DataFrame, rows: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filedeck.functions import tables as tb
@@ -84,11 +84,22 @@ def loaded_once(spark: SparkSession, d: str) -> DataFrame:
 
 
 def new_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks of filings received from 2024 on whose key no earlier filing's load has."""
-    rows = table(spark, d, "chunks").join(corpus.filings(spark, d).select("rcept_no", "rcept_dt"), "rcept_no")
-    late = F.col("rcept_dt") >= F.lit("2024-01-01").cast("date")
-    keys = ["section_path", "chunk_index"]
-    return entities.new_rows(rows.filter(late), rows.filter(~late), keys).select("id", "rcept_no", "chunk_index")
+    """A second load, of the chunks in the upper half of the ids: those whose place in their filing the first load has not filled."""
+    rows = table(spark, d, "chunks").select("id", "rcept_no", "section_path", "chunk_index")
+    half = rows.agg(F.expr("(min(id) + max(id)) div 2").alias("half"))  # one row
+    loads = rows.crossJoin(F.broadcast(half))
+    keys = ["rcept_no", "section_path", "chunk_index"]
+    return entities.new_rows(loads.filter("id > half"), loads.filter("id <= half"), keys).select("id", "rcept_no", "chunk_index")
+
+
+def first_filings(spark: SparkSession, d: str) -> DataFrame:
+    """The first twenty filings by receipt number."""
+    return entities.first_filings(corpus.filings(spark, d), 20).select("rcept_no", "corp_code", "report_nm")
+
+
+def companies_with_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The companies a question can be asked about."""
+    return corpus.chunks(spark, d).select("corp_name").distinct()
 
 
 def expected_chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -122,14 +133,14 @@ def chunk_terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def corpus_statistics(spark: SparkSession, d: str) -> DataFrame:
-    texts = table(spark, d, "chunks").select("id", "text")
+    texts = search.split_texts(table(spark, d, "chunks").select("id", "text"))
     vocabulary = search.document_frequency(texts).agg(F.count("*").alias("n_terms"), F.sum("df").alias("n_postings"))
     return search.corpus_size(texts).select("n_docs", F.round("avg_len", 6).alias("avg_len")).crossJoin(F.broadcast(vocabulary))  # one row each
 
 
 def frequent_terms(spark: SparkSession, d: str) -> DataFrame:
     """Top 50 by document frequency."""
-    return search.document_frequency(table(spark, d, "chunks").select("id", "text")).orderBy(F.desc("df"), F.asc("token")).limit(50)
+    return search.document_frequency(search.split_texts(table(spark, d, "chunks").select("id", "text"))).orderBy(F.desc("df"), F.asc("token")).limit(50)
 
 
 def row_labels(spark: SparkSession, d: str) -> DataFrame:
@@ -205,6 +216,12 @@ def parsed_blocks(spark: SparkSession, d: str) -> DataFrame:
     return markup.parsed(rows, F.col("id"), markup.as_markup(path, kind, F.coalesce("text", F.lit("")))).select(F.col("doc").cast("bigint").alias("id"), "ordinal", "section_path", "type", "text")
 
 
+def nested_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Markup of two sections, the second inside the first, with a table in a cell, made from each chunk and parsed back."""
+    rows = table(spark, d, "chunks").filter("text is not null")
+    return markup.parsed(rows, F.col("id"), markup.nested_markup(F.col("rcept_no"), F.col("text"))).select(F.col("doc").cast("bigint").alias("id"), "ordinal", "section_path", "type", "text")
+
+
 # Search
 
 
@@ -224,6 +241,11 @@ def dense_topk(spark: SparkSession, d: str) -> DataFrame:
     return _dense(spark, d, 10)
 
 
+def dense_search(spark: SparkSession, d: str) -> DataFrame:
+    """Dense search alone, with the texts of the best five."""
+    return search.fetch(_dense(spark, d, 5), table(spark, d, "chunks").select("id", "rcept_no", "section_path", "chunk_type", "text"))
+
+
 def dense_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
     return search.dense_filtered(corpus.vector_queries(spark, d), table(spark, d, "chunks"), "rcept_no", 10)
 
@@ -236,6 +258,26 @@ def sparse_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
     return search.sparse(corpus.vector_queries(spark, d).select("query_id", "rcept_no", "sparse"), table(spark, d, "chunks").select("id", "rcept_no", "sparse"), 10, "rcept_no")
 
 
+def _mixed(key: str, value: str) -> Column:
+    """A filter value as users give it: of every three queries one null, one empty, one set."""
+    return F.when(F.col(key) % 3 == 0, F.lit(None)).when(F.col(key) % 3 == 1, F.lit("")).otherwise(F.col(value)).alias(value)
+
+
+def dense_topk_mixed_filters(spark: SparkSession, d: str) -> DataFrame:
+    queries = corpus.vector_queries(spark, d).select("query_id", _mixed("query_id", "rcept_no"), "embedding")
+    return search.dense_filtered(queries, table(spark, d, "chunks").select("id", "rcept_no", "embedding"), "rcept_no", 10)
+
+
+def sparse_topk_mixed_filters(spark: SparkSession, d: str) -> DataFrame:
+    queries = corpus.vector_queries(spark, d).select("query_id", _mixed("query_id", "rcept_no"), "sparse")
+    return search.sparse(queries, table(spark, d, "chunks").select("id", "rcept_no", "sparse"), 10, "rcept_no")
+
+
+def bm25_topk_mixed_filters(spark: SparkSession, d: str) -> DataFrame:
+    queries = corpus.golden(spark, d).select("query_id", "text", _mixed("query_id", "corp_name"))
+    return search.bm25(queries, _texts(spark, d), 5, "corp_name")
+
+
 def sparse_postings(spark: SparkSession, d: str) -> DataFrame:
     return search.postings(table(spark, d, "chunks")).groupBy("token").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 4).alias("weight"))
 
@@ -373,6 +415,10 @@ def answer_accuracy(spark: SparkSession, d: str) -> DataFrame:
 def _conditions(spark: SparkSession, d: str) -> DataFrame:
     plain, crumbs = cut(_bm25(spark, d)), cut(_bm25(spark, d, breadcrumb=True))
     lists = {"bm25": plain, "bm25_breadcrumb": crumbs, "rrf": search.rrf([plain, crumbs], 10), "weighted": search.weighted([plain, crumbs], [0.7, 0.3], 10)}
+    return _judged(spark, d, lists)
+
+
+def _judged(spark: SparkSession, d: str, lists: dict[str, DataFrame]) -> DataFrame:
     golden, texts, out = corpus.golden(spark, d).select("query_id", "expected_chunk_id", "expected_value", "metric"), table(spark, d, "chunks"), None
     for name, hits in lists.items():
         part = evaluate.judged(hits.filter("rank <= 10"), golden, texts).withColumn("condition", F.lit(name))
@@ -380,6 +426,18 @@ def _conditions(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def retrieval_quality_embedded(spark: SparkSession, d: str) -> DataFrame:
+    """Dense, sparse and mixed conditions within the company, by the stand-in embedding; its figures say nothing of a real model's."""
+    questions = cut(search.embedded(corpus.golden(spark, d).select("query_id", "corp_name", "text"), "text", search.HashingEmbedder))
+    rows = cut(search.embedded(_texts(spark, d, breadcrumb=True), "text", search.HashingEmbedder).drop("text"))
+    dense = cut(search.dense_filtered(questions, rows, "corp_name"))
+    sparse = cut(search.sparse(questions, rows, by="corp_name"))
+    words = cut(_bm25(spark, d, by="corp_name", breadcrumb=True))
+    lists = {"dense": dense, "sparse": sparse, "dense_sparse_rrf": search.rrf([dense, sparse], 10), "dense_bm25_rrf": search.rrf([dense, words], 10)}
+    lists |= {"dense_sparse_weighted": search.hybrid(dense, sparse, 10), "dense_bm25_weighted": search.hybrid(dense, words, 10)}
+    return evaluate.means(_judged(spark, d, lists), "condition", "metric")
+
+
 def retrieval_quality(spark: SparkSession, d: str) -> DataFrame:
     """Recall and reciprocal rank, by id and by value, of each condition by metric and in all."""
     return evaluate.means(_conditions(spark, d), "condition", "metric")

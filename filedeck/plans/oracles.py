@@ -46,10 +46,12 @@ def top(source: str, k: int, keys: str = "query_id", columns: str = "query_id, i
     return f"SELECT {columns}, row_number() OVER (PARTITION BY {keys} ORDER BY score DESC, id) AS rank FROM {source} QUALIFY rank <= {k}"
 
 
-def bm25(texts: str, name: str, same: bool = False) -> str:
-    """CTEs up to {name}_all: every question against every text; with `same` within the question's company."""
+SAME = "WHERE g.corp_name = t.corp_name"
+
+
+def bm25(texts: str, name: str, where: str = "") -> str:
+    """CTEs up to {name}_all: every question against every text; with SAME within the question's company."""
     n = name
-    where = "WHERE g.corp_name = t.corp_name" if same else ""
     return f"""{n}_t AS ({texts}), {n}_k AS (SELECT id, unnest({TERMS.format("text")}) AS t FROM {n}_t), {n}_l AS (SELECT id, len(regexp_extract_all(coalesce(text, ''), '[0-9A-Za-z가-힣]+')) AS len FROM {n}_t),
     {n}_s AS (SELECT count(*) AS n, avg(len) AS avg_len FROM {n}_l), {n}_d AS (SELECT t, count(DISTINCT id) AS df FROM {n}_k GROUP BY t),
     {n}_r AS (SELECT t, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM {n}_d, {n}_s),
@@ -78,7 +80,7 @@ def values(source: str) -> str:
 
 BASIS = f"""CASE WHEN contains(regexp_replace(array_to_string(section_path, ''), '{BLANK}+', '', 'g'), '연결') THEN '연결'
     WHEN regexp_matches(regexp_replace(array_to_string(section_path, ''), '{BLANK}+', '', 'g'), '재무제표|재무상태표|손익계산서') THEN '별도' END"""
-CONTEXT = f"""'[' || rank || '] (' || corp_name || coalesce(' ' || basis || '기준', '') || ' / ' || {PATH} || ')' || chr(10) || coalesce(text, '')"""
+CONTEXT = f"""'[' || rank || '] (' || corp_name || coalesce(' [' || basis || '기준]', '') || CASE WHEN len(section_path) > 0 THEN ' / ' || {PATH} ELSE '' END || ')' || chr(10) || coalesce(text, '')"""
 TURNS = r"turns AS (SELECT item_id // 8 AS conversation, item_id AS turn, question, regexp_extract(search_query, '^(\S+?)(?:의|이|가) ', 1) AS corp FROM baseline_items)"
 ANSWERS = f"{GOLD}, ans AS (SELECT b.item_id, b.answer, g.metric, g.expected_value, g.expected_chunk_id FROM baseline_items b JOIN gold g USING (question))"
 
@@ -112,8 +114,19 @@ ORACLES = {
     "filings_without_chunks": "SELECT DISTINCT rcept_no FROM filings WHERE rcept_no NOT IN (SELECT rcept_no FROM chunks WHERE rcept_no IS NOT NULL)",
     "chunks_by_company": f"WITH {CH} SELECT corp_name, count(*) AS n_chunks, count(DISTINCT rcept_no) AS n_filings, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM ch GROUP BY 1",
     "loaded_once": "SELECT id, rcept_no, chunk_index FROM chunks WHERE id IN (SELECT min(id) FROM chunks GROUP BY rcept_no, section_path, chunk_index)",
-    "new_chunks": f"""WITH {FIL}, r AS (SELECT c.*, rcept_dt FROM chunks c JOIN fil USING (rcept_no)) SELECT id, rcept_no, chunk_index FROM r a WHERE rcept_dt >= DATE '2024-01-01'
-        AND NOT EXISTS (SELECT 1 FROM r b WHERE b.rcept_dt < DATE '2024-01-01' AND a.section_path = b.section_path AND a.chunk_index = b.chunk_index)""",
+    "new_chunks": """WITH h AS (SELECT (min(id) + max(id)) // 2 AS half FROM chunks) SELECT id, rcept_no, chunk_index FROM chunks a, h WHERE id > half
+        AND NOT EXISTS (SELECT 1 FROM chunks b WHERE b.id <= h.half AND a.rcept_no = b.rcept_no AND a.section_path = b.section_path AND a.chunk_index = b.chunk_index)""",
+    "first_filings": f"WITH {FIL} SELECT rcept_no, corp_code, report_nm FROM fil ORDER BY rcept_no LIMIT 20",
+    "companies_with_chunks": f"WITH {CH} SELECT DISTINCT corp_name FROM ch",
+    "dense_search": f"WITH {DENSE} SELECT query_id, dense.id, score, rank, rcept_no, section_path, chunk_type, text FROM dense JOIN chunks USING (id) WHERE rank <= 5",
+    "dense_topk_mixed_filters": f"WITH {VEC} " + top("(SELECT * FROM dense_all WHERE same OR query_id % 3 < 2)", 10),
+    "sparse_topk_mixed_filters": f"WITH {SPARSE} " + top("(SELECT * FROM sparse_all WHERE same OR query_id % 3 < 2)", 10),
+    "bm25_topk_mixed_filters": f"WITH {CH}, {GOLD}, {bm25(PLAIN, 'bm', 'WHERE g.corp_name = t.corp_name OR g.query_id % 3 < 2')} SELECT query_id, id, score, rank FROM bm WHERE rank <= 5",
+    "nested_blocks": f"""WITH c AS (SELECT id, rcept_no, string_split(text, chr(10)) AS l FROM chunks WHERE text IS NOT NULL),
+        b AS (SELECT id, 0 AS o, ['Ⅰ.' || rcept_no] AS section_path, 'paragraph' AS type, {strip("l[1]")} AS text FROM c
+              UNION ALL SELECT id, 1, ['Ⅰ.' || rcept_no, '표'], 'table', '내용 [' || array_to_string(list_filter(list_transform(l, lambda x: {strip("x")}), lambda x: x <> ''), '; ') || '] | 끝' FROM c
+              UNION ALL SELECT id, 2, [], 'paragraph', CAST(len(l) AS VARCHAR) FROM c)
+        SELECT id, row_number() OVER (PARTITION BY id ORDER BY o) - 1 AS ordinal, section_path, type, text FROM b WHERE text <> ''""",
     "expected_chunks": "SELECT id, rcept_no, chunk_type FROM chunks WHERE id IN (SELECT expected_chunk_id FROM golden)",
     "first_companies_golden": "SELECT golden_id, corp_name, metric FROM golden WHERE metric IN ('매출액', '영업이익') AND corp_name IN (SELECT DISTINCT corp_name FROM golden ORDER BY corp_name LIMIT 10)",
     "embedding_inputs": f"WITH {CH} SELECT id, substring({RERANK}, 1, 4000) AS input FROM ch",
@@ -142,7 +155,7 @@ ORACLES = {
     "sparse_topk_filtered": f"WITH {SPARSE} " + top("(SELECT * FROM sparse_all WHERE same)", 10),
     "sparse_postings": f"WITH {POST} SELECT token, count(*) AS n, round(sum(weight), 4) AS weight FROM post GROUP BY 1",
     "bm25_topk": f"WITH {CH}, {GOLD}, {bm25(PLAIN, 'bm')} SELECT query_id, id, score, rank FROM bm WHERE rank <= 5",
-    "bm25_topk_filtered": f"WITH {CH}, {GOLD}, {bm25(PLAIN, 'bm', True)} SELECT query_id, id, score, rank FROM bm WHERE rank <= 5",
+    "bm25_topk_filtered": f"WITH {CH}, {GOLD}, {bm25(PLAIN, 'bm', SAME)} SELECT query_id, id, score, rank FROM bm WHERE rank <= 5",
     "bm25_topk_breadcrumb": f"WITH {CH}, {GOLD}, {bm25(CRUMBS, 'bm')} SELECT query_id, id, score, rank FROM bm WHERE rank <= 5",
     "rrf_fusion": f"WITH {TWO} " + top("(SELECT query_id, id, round(sum(1 / (60 + rank)), 6) AS score FROM (SELECT * FROM dense UNION ALL SELECT * FROM sparse) GROUP BY 1, 2)", 10),
     "weighted_fusion": f"WITH {TWO}, {FUSED} " + top("fused", 10),
@@ -159,11 +172,11 @@ ORACLES = {
         zero AS (SELECT d.query_id, d.id, coalesce(s.score, 0) AS score FROM dense d LEFT JOIN sparse_all s ON s.query_id = d.query_id AND s.id = d.id AND s.same),
         {SCALED.format(a="dense", b="zero")}, fused AS (SELECT query_id, id, round(sum(CASE list WHEN 0 THEN 0.7 ELSE 0.3 END * s), 6) AS score FROM scaled GROUP BY query_id, id) """
     + top("fused", 10),
-    "extracted_answers": f"""WITH {CH}, {GOLD}, {bm25(PLAIN, "bm", True)}, h AS (SELECT bm.query_id * 10 + rank AS id, bm.query_id, ch.text FROM bm JOIN ch USING (id) WHERE rank <= 3), {values("h")},
+    "extracted_answers": f"""WITH {CH}, {GOLD}, {bm25(PLAIN, "bm", SAME)}, h AS (SELECT bm.query_id * 10 + rank AS id, bm.query_id, ch.text FROM bm JOIN ch USING (id) WHERE rank <= 3), {values("h")},
         a AS (SELECT query_id, arg_min(value, vals.id) AS value FROM vals JOIN gold g ON g.query_id = vals.id // 10 AND g.metric = vals.metric GROUP BY query_id)
         SELECT g.query_id, coalesce(value, '자료에서 찾을 수 없습니다') AS answer, coalesce(contains(coalesce(value, '자료에서 찾을 수 없습니다'), g.expected_value), false) AS correct
         FROM gold g JOIN (SELECT DISTINCT query_id FROM h) USING (query_id) LEFT JOIN a USING (query_id)""",
-    "contexts": f"""WITH {CH}, {GOLD}, {bm25(PLAIN, "bm", True)}, h AS (SELECT bm.query_id, rank, ch.*, {BASIS} AS basis FROM bm JOIN ch USING (id) WHERE rank <= 3)
+    "contexts": f"""WITH {CH}, {GOLD}, {bm25(PLAIN, "bm", SAME)}, h AS (SELECT bm.query_id, rank, ch.*, {BASIS} AS basis FROM bm JOIN ch USING (id) WHERE rank <= 3)
         SELECT query_id, string_agg({CONTEXT}, chr(10) || chr(10) ORDER BY rank) AS context FROM h GROUP BY 1""",
     "carried_companies": f"WITH {TURNS} SELECT conversation, turn, coalesce(corp, last_value(nullif(corp, '') IGNORE NULLS) OVER (PARTITION BY conversation ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS corp FROM turns",
     "carried_questions": f"WITH {TURNS} SELECT conversation, turn, array_to_string(list(question) OVER (PARTITION BY conversation ORDER BY turn ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), ' ') AS query FROM turns",

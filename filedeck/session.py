@@ -7,7 +7,6 @@ import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 #: Tables whose rows are worked on one by one.
@@ -31,10 +30,12 @@ def local_session(cores: int | str = "*", shuffle: int = 8, memory: str = "8g")
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir. Only where the setting is absent
-    (tests on one machine) a temporary folder is made and set."""
+    """The shared folder named in spark.checkpoint.dir. Where the setting is absent a temporary folder is made and set, but
+    only in a session on one machine (tests); on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -56,8 +57,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
     return df.repartition(cores) if name in LARGE and df.rdd.getNumPartitions() < cores else df
-
-
-def small(df: DataFrame, most: int = 100_000) -> DataFrame:
-    """df marked for broadcast if it has at most `most` rows, which is counted; else as it is."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

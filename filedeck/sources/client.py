@@ -8,6 +8,9 @@ import json
 import re
 from collections.abc import Callable, Iterator
 
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 # Status codes of the service.
@@ -62,6 +65,41 @@ class Client:
             last, page = int(out.get("total_page", 1)), page + 1
 
 
+def download(filings: DataFrame, folder: str, client: Callable[[], Client], endpoint: str = "document.xml") -> DataFrame:
+    """filings (rcept_no) -> (rcept_no, state, error): the archive of each filing in the shared folder as {rcept_no}.zip.
+
+    What is there already is skipped ("there"), so a run that broke off goes on where it stopped; a filing the service
+    refuses is "failed" with the error and the others go on. A file appears under its name only when it is whole.
+    `client` is called once in each task; null numbers give no row. The result is lazy: nothing is fetched before it is read."""
+
+    def run(frames):
+        import pyarrow.fs
+
+        service = client()
+        system, root = pyarrow.fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        system.create_dir(root, recursive=True)
+        for f in frames:
+            rows = []
+            for number in f["rcept_no"]:
+                path = f"{root}/{number}.zip"
+                if system.get_file_info(path).type == pyarrow.fs.FileType.File:
+                    rows.append((number, "there", None))
+                    continue
+                try:
+                    body = service.archive(endpoint, rcept_no=number)
+                except (ServiceError, OSError) as e:
+                    rows.append((number, "failed", str(e)))
+                    continue
+                with system.open_output_stream(path + ".part") as out:
+                    out.write(body)
+                system.move(path + ".part", path)
+                rows.append((number, "fetched", None))
+            yield pd.DataFrame(rows, columns=["rcept_no", "state", "error"])
+
+    wanted = filings.filter("rcept_no is not null").select(F.col("rcept_no").cast("string").alias("rcept_no")).distinct()
+    return wanted.mapInPandas(run, "rcept_no string, state string, error string")
+
+
 COLUMNS = ("rcept_no", "corp_code", "corp_name", "stock_code", "report_nm", "rcept_dt")
 
 

@@ -121,6 +121,8 @@ def test_split_table_edges(spark):
         ("a | b", "a | b"),
         ("단위: 원\na | b\nx | 1\n주석", "단위: 원\nx: b=1"),
         ("a | b\nx | ", "x | "),
+        ("단위: 원\na | b\n | c", "단위: 원"),
+        ("a | b\n | c", ""),
     ],
 )
 def test_reformat(spark, text, out):

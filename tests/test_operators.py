@@ -182,7 +182,36 @@ def test_rerank_and_models(spark):
 
 def test_context(spark):
     hits = spark.createDataFrame([(1, 2, "회사", ["Ⅲ", "연결 재무제표"], "table", "a | b\nx | 1"), (1, 1, "회사", ["개요"], "paragraph", "a | b")], "query_id bigint, rank int, corp_name string, section_path array<string>, chunk_type string, text string")
-    assert context.assembled(hits).first()["context"] == "[1] (회사 / 개요)\na | b\n\n[2] (회사 연결기준 / Ⅲ > 연결 재무제표)\nx: b=1"
+    assert context.assembled(hits).first()["context"] == "[1] (회사 / 개요)\na | b\n\n[2] (회사 [연결기준] / Ⅲ > 연결 재무제표)\nx: b=1"
+    bare = hits.filter("rank = 1").withColumn("section_path", F.array().cast("array<string>"))
+    assert context.assembled(bare).first()["context"] == "[1] (회사)\na | b"
+
+
+def test_rewritten(spark):
+    df = spark.createDataFrame([(1, "매출은?"), (2, None), (3, "빈 답")], "query_id bigint, question string")
+
+    def model():
+        return lambda questions: [f" {q} 얼마 " if q == "매출은?" else "  " for q in questions]
+
+    assert rows(context.rewritten(df, model), "query_id", "search_query") == [(1, "매출은? 얼마"), (2, None), (3, "빈 답")]
+
+
+def test_no_filter_value_means_no_filter(spark):
+    """Null and '' let a query meet the whole corpus, in every search that takes a filter."""
+    data = [(1, "a", [1.0, 0.0], {"x": 1.0}, "매출 하나"), (2, "b", [1.0, 1.0], {"x": 0.5}, "매출 둘"), (3, None, [0.9, 0.1], {"x": 0.2}, "매출 셋"), (4, "", [0.0, 1.0], {"x": 0.1}, "비용")]
+    df = spark.createDataFrame(data, "id bigint, c string, embedding array<float>, sparse map<string,double>, text string")
+    asked = [(7, "a"), (8, None), (9, ""), (10, "none")]
+    q = spark.createDataFrame([(i, c, [1.0, 0.0], {"x": 1.0}, "매출") for i, c in asked], "query_id bigint, c string, embedding array<float>, sparse map<string,double>, text string")
+    for found in (search.dense_filtered(q, df, "c", 10), search.sparse(q, df, 10, "c"), search.bm25(q, df, 10, "c"), search.hybrid_within(q, df, "c", 10)):
+        ids = {i: {x for n, x in rows(found, "query_id", "id") if n == i} for i, _ in asked}
+        assert ids == {7: {1}, 8: {1, 2, 3, 4}, 9: {1, 2, 3, 4}, 10: set()}
+    set_only = q.filter("query_id = 7")
+    assert rows(search.sparse(set_only, df, 10, "c"), "id") == [(1,)]
+
+
+def test_first_filings(spark):
+    df = spark.createDataFrame([("3",), ("1",), (None,), ("2",)], "rcept_no string")
+    assert rows(entities.first_filings(df, 2), "rcept_no") == [("1",), ("2",)] and entities.first_filings(df, 9).count() == 4
 
 
 def test_turns(spark):
