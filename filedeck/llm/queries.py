@@ -147,6 +147,13 @@ def p8_languages(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "label", "lang", F.round("share", 4).alias("share"), F.round("confidence", 4).alias("confidence"))
 
 
+def p8_unknown(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that are, for at least a fifth of their letters, in a language of which there are no labelled texts."""
+    documents = _documents(spark, d)
+    rows = languages.unknown_texts(documents, languages.train(documents))
+    return rows.select(F.col("id").alias("doc_id"), "label", F.round("share", 4).alias("share"), F.round("confidence", 4).alias("confidence"))
+
+
 def p8_stretches(spark: SparkSession, d: str) -> DataFrame:
     """Every stretch in one language of every document."""
     documents = _documents(spark, d)
@@ -154,7 +161,7 @@ def p8_stretches(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumnRenamed("id", "doc_id").withColumn("confidence", F.round("confidence", 4))
 
 
-NAMES = (p1_found, p1_links, p2_found, p2_lines, p2_clean, p3_found, p3_topk, p3_recall, p4_found, p4_pieces, p4_rebuilt, p5_found, p5_defects, p6_pack, p6_program, p6_containers, p7_found, p7_matches, p7_clean, p8_found, p8_languages, p8_stretches)
+NAMES = (p1_found, p1_links, p2_found, p2_lines, p2_clean, p3_found, p3_topk, p3_recall, p4_found, p4_pieces, p4_rebuilt, p5_found, p5_defects, p6_pack, p6_program, p6_containers, p7_found, p7_matches, p7_clean, p8_found, p8_languages, p8_unknown, p8_stretches)
 
 
 def queries() -> dict:

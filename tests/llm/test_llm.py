@@ -639,10 +639,44 @@ def test_languages(spark):
     assert languages.document_languages(df.limit(0), models).count() == 0
 
 
+def test_unknown_languages(spark):
+    """Texts of languages without labels are told as such, with the confidence of the rejection, whatever their label."""
+    models = languages.train(spark.createDataFrame([x[:3] for x in corpus(900, 10)], "id bigint, text string, label string"))
+    assert models.languages == sorted(SAID)
+    odd = {1: "Выручка общества за отчётный год составила пять миллиардов рублей. Совет одобрил новый бюджет линии.", 2: "บริษัทส่งมอบสินค้าให้ตลาดในประเทศตลอดทั้งปี", 3: "Η εταιρεία παρέδωσε φίλτρα στην εγχώρια αγορά κατά τη διάρκεια του έτους."}
+    df = spark.createDataFrame([(i, t, "ko") for i, t in odd.items()] + [(9, SAID["ko"].format(5), "ko")], "id bigint, text string, label string")
+    found = languages.unknown_texts(df, models).collect()
+    assert {r["id"] for r in found} == {1, 2, 3} and all(r["share"] > 0.99 and 0.9 < r["confidence"] < 1 for r in found)
+    assert languages.wrong_labels(df, models).count() == 0
+
+
+def test_a_seventh_language(spark):
+    """Languages come from the labels; a label on texts of another language gets no model."""
+    said = "La société a livré {} unités de filtres au marché intérieur pendant l'année. Le conseil a approuvé un nouveau budget pour la ligne."
+    data = corpus(900, 10) + [(5000 + i, said.format(i * 37), "fr" if i % 10 else "FR-ca", "fr") for i in range(60)] + [(6000 + i, SAID["ko"].format(i), "xx", "ko") for i in range(12)]
+    df = spark.createDataFrame([x[:3] for x in data], "id bigint, text string, label string")
+    models = languages.train(df)
+    assert models.languages == sorted([*SAID, "fr"])
+    assert {r["id"] for r in languages.wrong_labels(df, models).filter("id >= 5000").collect()} == set(range(6000, 6012))
+
+
+def test_places_in_the_text_as_delivered(spark):
+    models = languages.train(spark.createDataFrame([x[:3] for x in corpus(900, 10)], "id bigint, text string, label string"))
+    ko, de = unicodedata.normalize("NFD", SAID["ko"].format(1)), SAID["de"].format(2)
+    text = f"<b>{ko}</b>\n&nbsp;{de}\n㈜ {SAID['ko'].format(3)}"
+    found = languages.stretches(spark.createDataFrame([(1, text)], "id bigint, text string"), models).orderBy("stretch_no").collect()
+    pieces = [(r["lang"], text[r["begin"] : r["end"]]) for r in found]
+    assert [lang for lang, _ in pieces] == ["ko", "de", "ko"] and ko in pieces[0][1] and de in pieces[1][1] and pieces[2][1].startswith("㈜")
+    for sample in (text, "plain", "ﾊﾞﾟ가각ﬁnal İ e\u0301", unicodedata.normalize("NFD", "각 é ご")):
+        place, clean = languages.delivered(sample), unicodedata.normalize("NFKC", languages.MARKUP.sub(" ", sample)).lower()
+        assert len(place) == len(clean) + 1 and (np.diff(place) >= 0).all() and place[-1] == len(sample)
+
+
 def test_languages_without_labels(spark):
     df = spark.createDataFrame([(1, SAID["en"].format(1), None)], "id bigint, text string, label string")
     models = languages.train(df)
-    assert languages.document_languages(df, models).count() == 0
+    assert [(r["lang"], r["confidence"]) for r in languages.document_languages(df, models).collect()] == [("und", 0.0)]
+    assert languages.wrong_labels(df, models).count() == 0
 
 
 def test_kneser_ney_sums_to_one():
