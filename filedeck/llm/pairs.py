@@ -4,7 +4,8 @@ Each answer is looked at in this order, and gets the first defect that fits:
 `empty`      nothing is left after labels, punctuation and invisible characters, or a stand-in for "nothing";
 `copy`       a walk of the answer through the question's suffix automaton covers nearly all of it, and
              nearly all of the question (the start of a question alone is a broken-off answer, no copy);
-`refusal`    no value besides the question's own, and an automaton of refusals finds a phrase;
+`refusal`    no value besides the question's own, and an automaton of refusals finds a phrase: set phrases, and every
+             combination of what can be done with a value and how that is denied, in ten languages;
 `truncated`  an opened delimiter is never closed, or the last line ends neither as a sentence nor as a value;
 `language`   votes of function words and scripts go to another language than the question's, and none to it;
              names and words of the question, units and a lone foreign term have no vote.
@@ -21,6 +22,7 @@ import unicodedata
 from functools import cache
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,14 +36,37 @@ REFUSALS = """
 답변하지않 답을드리지않 제공하지않 않는것이적절 범위를벗어 양해바랍니다 양해부탁 죄송 포함되어있지않 나와있지않 기재되어있지않 언급되어있지않 정보가없 자료가없 근거가없 정보가부족 근거가부족
 cannot cant unableto notable notenough insufficient donotcontain doesnotcontain doesnotprovide donotprovide notavailable notprovided notdisclosed notspecified notfound noinformation nodata couldnot sorry apologize declineto
 nopuedo nosepuede nodispon losiento nocontiene kannnicht leidernicht nichtmöglich nichtenthalten keineangabe 无法 無法 不能提供 抱歉 没有提供 未提供 できません 申し訳 わかりません 見つかりません ありません
+silenton saysnothing undisclosed unknownto beyondthescope outsidethescope beyondmy mustdecline regretthat 알수가없 나타나있지않 나타나지않 곤란합니다 곤란함 곤란하다 답이없 알려진바없 확인된바없 공개된바없 언급이없 기록이없 비공개
+недоступн неизвестн несодержит неуказан неудалось немогу невозможно нераскры информацииотсутств jenepeuxpas nepeutpas nestpasdisponible nestpasindiqu nestpasmentionn aucuneinformation aucunedonnée désolé impossiblede
+nonèdisponibile nonèstato nonèpossibile nonposso nessunainformazione mispiace nãoépossível nãoestádisponível nãoconsta nãoposso seminformação desculpe nohayinformación nohaydatos noestádisponible noseindica nosemenciona nichtverfügbar nichtangegeben nichtbekannt keineinformation keinedaten
+不明です 不明である 記載がな 記載されていな 情報がな データがな 公表されていな 開示されていな お答えでき 確認でき 没有披露 未披露 未公开 没有说明 未说明 没有信息 没有数据 不得而知 不清楚 无从 查不到 找不到
 """.split()
+# What can be done with a value, and how that is denied; each joined to each, with and without the words between.
+DENIED = (
+    ("공개 기재 언급 명시 표시 제시 포함 수록 제공 확인 보고 기록 공시 안내 발견 파악 산출 계산 답변 판단 특정 도출".split(), "된바없 된바가없 되지않 되어있지않 돼있지않 할수없 할수가없 하지못 되지못 이불가 하기어렵 이어렵 된것이없 된내용이없 된자료가없 된정보가없 하기힘들".split()),
+)
+NEGATED = {
+    "not isnt arent wasnt werent hasnt havent never": ("", "been", "be", "publicly", "currently", "explicitly", "directly", "yet", "beenpublicly", "separately"),
+    "disclosed reported available provided specified stated mentioned listed given found included contained shown known published determined indicated recorded covered": (),
+}
+UNABLE = ("cannot cant couldnot couldnt unableto notableto failedto declineto refuseto donotknowhowto".split(), "answer provide determine find tell say confirm give disclose share identify locate calculate help assist comment verify derive".split())
+LACKING = ("doesnot doesnt donot dont didnot didnt".split(), "contain provide include mention state disclose specify report show say list give cover reveal know have".split())
+NO = ("no thereisno thereareno lacks without".split(), "information data figure figures mention record disclosure answer details indication evidence suchvalue".split())
 UNITS = frozenset("""원 천원 백만원 억원 조원 만원 십억원 百万원 千원 억 조 만 won wons wones krw usd thousand million millions millionen billion tausend mil miles millones percent prozent 百万 千 億 亿
 百万ウォン 千ウォン ウォン 百万韩元 千韩元 韩元 韓元 ウォンで k-ifrs ifrs""".split())
 WORDS = {
     "en": frozenset("the of and to in is was were for it its on by from with at this that according reported amounted stood which has had based company filing annual report not".split()),
     "de": frozenset("der die das und ist war für laut im in nach auf den dem ein eine von zum betrug bericht meldete wurde beträgt unternehmen".split()),
     "es": frozenset("el la los las de del en que un una según informe fue por es para cifra empresa al se con".split()),
+    "fr": frozenset("le la les des du de un une est était ont été dans pour par sur selon au aux et société chiffre d'affaires".split()),
+    "it": frozenset("il lo la gli le di del della dei delle un una è stato stata sono nel nella per con secondo società che".split()),
+    "pt": frozenset("o a os as do da dos das de um uma é foi são no na nos nas por para com segundo empresa que em".split()),
+    "nl": frozenset("de het een van en is was in op voor met volgens bedrijf bedroeg dat zijn".split()),
 }
+#: Languages whose words settle what a question is asked in; the others are only told in answers.
+ASKED = ("en", "de", "es")
+# Scripts that none of these languages is written in.
+SCRIPTS = regex.compile(r"\p{Cyrillic}|\p{Greek}|\p{Arabic}|\p{Hebrew}|\p{Thai}|\p{Devanagari}|\p{Bengali}|\p{Tamil}|\p{Georgian}|\p{Armenian}|\p{Khmer}|\p{Lao}|\p{Myanmar}|\p{Ethiopic}")
 OPENING, CLOSING = "([{“‘「『《〈（［", ")]}”’」』》〉）］"
 FINAL = re.compile(r"(?:다|요|까|음|임|함|됨|죠|네|불가|없음)[\s\"'”’)\]*]*$")
 STOP = re.compile(r"[.!?。！？][\s\"'”’)\]*]*$")
@@ -49,7 +74,7 @@ NUMBER = r"\(?-?[\d][\d,.]*\)?"
 VALUE_END = re.compile(rf"{NUMBER}\s*(?:(?:thousand|million|billion|백만|천|만|억|조|百万|千|십억)\s*)?(?:원|won|krw|%|percent|韩元|ウォン|달러)\s*(?:\([^()]*\))?[\s*\"'”’.]*$", re.IGNORECASE)
 BARE = re.compile(rf"^[\s*\"'“(]*{NUMBER}[\s*\"'”)]*$")
 GOING_ON = re.compile(r"이며|이고|하였고|였고|으나|지만|하며|there|which|while|, (?:and|but)", re.IGNORECASE)
-VALUE = re.compile(r"\d{1,3}(?:,\d{3})+|\d{5,}|\d[\d,.]*\s*(?:조|억|백만|천|만|百万|千)?\s*(?:원|won|韩元|ウォン)", re.IGNORECASE)
+VALUE = re.compile(r"\d{1,3}(?:,\d{3})+|\d{5,}|\d[\d,.]*\s*(?:조|억|백만|천|만|百万|千)?\s*(?:원|won|韩元|ウォン)|\d[\d,.]*\s*(?:thousand|million|billion|trillion|조|억|백만)\b|[$€¥₩]\s*\d", re.IGNORECASE)
 
 
 class SuffixAutomaton:
@@ -104,12 +129,23 @@ def letters(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKC", text).lower() if c.isalnum())
 
 
+def phrases() -> set[str]:
+    """All phrases of refusal, as letters and digits."""
+    out = set(REFUSALS)
+    for heads, tails in (*DENIED, UNABLE, LACKING):
+        out |= {h + t for h in heads for t in tails}
+    (nots, between), (done, _) = NEGATED.items()
+    out |= {n + b + d for n in nots.split() for b in between for d in done.split()}
+    # "no" alone is too short to be told from the end of another word
+    return out | {h + t for h in NO[0][1:] for t in NO[1]} | {"thereis" + h + t for h in NO[0][:1] for t in NO[1]}
+
+
 @cache
 def refusal_automaton():
     import ahocorasick
 
     a = ahocorasick.Automaton()
-    for phrase in REFUSALS:
+    for phrase in phrases():
         a.add_word(phrase, phrase)
     a.make_automaton()
     return a
@@ -160,6 +196,8 @@ def votes(text: str, question: str) -> dict[str, int]:
                 out["ko"] = out.get("ko", 0) + 2
         elif re.search(r"[一-鿿]", word):
             out["zh"] = out.get("zh", 0) + 2
+        elif SCRIPTS.search(word):
+            out["other"] = out.get("other", 0) + 2
         else:
             for lang, known in WORDS.items():
                 if word in known:
@@ -172,7 +210,7 @@ def votes(text: str, question: str) -> dict[str, int]:
 def question_language(question: str) -> str:
     """The language of most votes; Hangul names in a sentence of another language do not count."""
     words = re.findall(r"[^\W\d_]+", question.lower())
-    n = {lang: sum(w in known for w in words) for lang, known in WORDS.items()}
+    n = {lang: sum(w in WORDS[lang] for w in words) for lang in ASKED}
     n["en"] += sum(w in ("what", "how", "much", "please", "state", "did", "report") for w in words)
     if max(n.values()) >= 2:
         return max(n, key=n.get)

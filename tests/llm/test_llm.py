@@ -410,6 +410,19 @@ CASES = [
     ("가회사의 매출액은 얼마인가요?", "根据年度报告，金额为12,345韩元。", "language"),
     ("가회사의 매출액은 얼마인가요?", "K-IFRS(Consolidated) 기준 12,345원입니다.", None),
     (None, "12,345원입니다.", None),
+    # phrases that no table was read for
+    ("What was the revenue of 가회사?", "The filing is silent on this figure.", "refusal"),
+    ("What was the revenue of 가회사?", "That number has not been publicly disclosed.", "refusal"),
+    ("What was the revenue of 가회사?", "There is no mention of it in the filing.", "refusal"),
+    ("What was the revenue of 가회사?", "Not disclosed is the cost, but revenue was 5 billion.", None),
+    ("가회사의 매출액은 얼마인가요?", "해당 수치는 공개된 바 없습니다.", "refusal"),
+    ("가회사의 매출액은 얼마인가요?", "그 값은 자료에 나타나 있지 않아 말씀드리기 곤란합니다.", "refusal"),
+    ("가회사의 매출액은 얼마인가요?", "Данные недоступны.", "refusal"),
+    ("What was the revenue of 가회사?", "Il fatturato della società è stato di cinque miliardi di euro.", "language"),
+    ("What was the revenue of 가회사?", "Выручка составила пять миллиардов.", "language"),
+    ("What was the revenue of 가회사?", "A receita da empresa foi de cinco bilhões no ano.", "language"),
+    ("What was the revenue of 가회사?", "Le chiffre d'affaires de la société était de cinq milliards.", "language"),
+    ("가회사의 매출액은 얼마인가요?", "รายได้คือห้าพันล้าน วอน ตามรายงาน.", "language"),
 ]
 
 
