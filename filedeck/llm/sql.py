@@ -23,11 +23,21 @@ LINES = r"""
               GROUP BY rcept_no, k, n HAVING count(DISTINCT id) >= 5 AND count(DISTINCT id) >= 0.05 * n),
     places AS (SELECT id, line_no FROM keyed JOIN often USING (rcept_no, k))"""
 
-LETTERS = r"regexp_replace(lower(translate(nfc_normalize({}), '０１２３４５６７８９', '0123456789')), '[^\p{{L}}\p{{N}}]+', '', 'g')"
+# NFKC where it changes letters or digits of these texts: Roman numerals and wide digits.
+ROMAN = dict(zip("ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩⅪⅫ", "I II III IV V VI VII VIII IX X XI XII".split()))
+
+
+def letters(column: str) -> str:
+    """The letters and digits of a text, after NFKC and lower-casing."""
+    text = f"translate(nfc_normalize({column}), '０１２３４５６７８９', '0123456789')"
+    for one, several in ROMAN.items():
+        text = f"replace({text}, '{one}', '{several}')"
+    return rf"regexp_replace(lower({text}), '[^\p{{L}}\p{{N}}]+', '', 'g')"
+
 
 LEAKS = f"""
-    d AS (SELECT doc_id, {LETTERS.format("text")} AS t FROM documents WHERE text IS NOT NULL),
-    e AS (SELECT item_id, {LETTERS.format("passage")} AS t FROM eval_items WHERE passage IS NOT NULL),
+    d AS (SELECT doc_id, {letters("text")} AS t FROM documents WHERE text IS NOT NULL),
+    e AS (SELECT item_id, {letters("passage")} AS t FROM eval_items WHERE passage IS NOT NULL),
     dg AS (SELECT doc_id, unnest(list_transform(range(1, length(t) - 58), lambda i: substring(t, i, 60))) AS g FROM d WHERE length(t) >= 60),
     eg AS (SELECT item_id, unnest(list_transform(range(1, length(t) - 58), lambda i: substring(t, i, 60))) AS g FROM e WHERE length(t) >= 60),
     leaks AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g))"""
