@@ -165,7 +165,7 @@ def bm25(queries: DataFrame, texts: DataFrame, k: int = CANDIDATES, by: str | No
     split into tokens once."""
     keep = [by] if by else []
     split = cut(split_texts(texts, *keep))
-    q = cut(token_rows(split_texts(queries.withColumnRenamed("query_id", "id"), *keep), *keep).groupBy("id", *keep, "token").agg(F.count("*").alias("times")))
+    q = token_rows(split_texts(queries.withColumnRenamed("query_id", "id"), *keep), *keep).groupBy("id", *keep, "token").agg(F.count("*").alias("times"))
     asked = q.select("token").distinct()
     tf = token_rows(split, *keep).join(asked, "token", "left_semi").groupBy("id", *keep, "len", "token").agg(F.count("*").alias("tf"))
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
