@@ -147,15 +147,14 @@ class Best:
 
     def look(self, name: np.ndarray, s: np.ndarray) -> None:
         """Take what is good enough of cosines [own vectors, others] with others of these names."""
-        rows = np.flatnonzero(s.max(1) > self.least)
-        if not len(rows):
+        fine = s > self.least[:, None]
+        n = np.count_nonzero(fine)
+        if not n:
             return
-        s = s[rows]
-        fine = s > self.least[rows, None]
-        if s.shape[1] > self.k + 1 and np.count_nonzero(fine) > 4 * self.k * len(rows):  # k + 1: one may be the vector itself
+        if s.shape[1] > self.k + 1 and n > 4 * self.k * len(s):  # k + 1: one may be the vector itself
             fine &= s >= np.partition(s, -self.k - 1, axis=1)[:, -self.k - 1, None]
-        i, j = np.nonzero(fine)
-        x, i, j = s[i, j], rows[i], name[j]
+        i, j = np.divmod(np.flatnonzero(fine), s.shape[1])
+        x, j = s[i, j], name[j]
         other = self.name[i] != j
         self.rest.append((i[other], j[other], x[other]))
         self.n_rest += int(other.sum())
@@ -399,7 +398,7 @@ def curve_hits(vectors: DataFrame, k: int, size: int, floor: float, curves: int,
     placed = stored.mapInArrow(_along(size, curves, mean, covariance), "curve int, key bigint, tie bigint, class bigint, v binary")
     ordered = placed.repartitionByRange(tasks, "curve", "key", "tie").sortWithinPartitions("curve", "key", "tie")
     lists = ordered.mapInArrow(_windows(size, k, floor, window), "class bigint, list binary")
-    return cut(lists.repartition("class").sortWithinPartitions("class").mapInArrow(_merged(k), "class bigint, near bigint, cosine double"))
+    return cut(lists.repartition(tasks, "class").sortWithinPartitions("class").mapInArrow(_merged(k), "class bigint, near bigint, cosine double"))
 
 
 def _first(df: DataFrame, key: str, order: list[Column], k: int) -> DataFrame:
