@@ -6,14 +6,15 @@ them by the Hilbert index of the grid cell (a hash that differs by curve within
 Spark range-partitions the classes by (curve, key) and sorts them; a partition is read in windows of WINDOW rows by rank, and each window is
 compared with itself and with the next one by matrix products, so a vector meets all that stand within WINDOW places of it;
 only the border between two partitions parts neighbouring windows. A partition holds about SPAN windows, so their number follows from
-the number of classes. The lists of all curves are merged, and the k best by their cosine stay (the rerank). Work and data grow in
-proportion to the table.
+the number of classes. The lists of all curves are merged, and the k best by their cosine stay (the rerank). A class travels with its
+k + 1 smallest ids, so a list names ids from the start and needs no join; only classes of several members are joined
+with their members. Work and data grow in proportion to the table.
 
 The accuracy lost is that of a pair which stands more than a window apart on every curve. `exact_ids` compares
 a stated set of queries with all rows in blocks; `recall` measures the curves against it.
 
 Results name the class members with the smallest ids, so a table full of copies makes no long list. Null, all-zero,
-non-finite and wrongly sized vectors take no part. Ties go to the smaller id. Other columns are ignored; an empty
+non-finite and wrongly sized vectors and rows without an id take no part. Ties go to the smaller id. Other columns are ignored; an empty
 table gives an empty result.
 """
 
@@ -108,12 +109,24 @@ def _classes(size: int):
             order = np.argsort(ids, kind="stable")
             q = scaled(v[order])
             name, first = np.unique(class_of(q), return_index=True)
-            raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * size), len(first), [None, pa.py_buffer(np.ascontiguousarray(q[first]).tobytes())]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(ids[order][first]), pa.array(name), raw], ["lead", "class", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[order][first]), pa.array(name), _binary(q[first])], ["lead", "class", "v"])
 
     return run
 
 
+def _binary(rows: np.ndarray) -> pa.Array:
+    """The bytes of each row of a matrix."""
+    rows = np.ascontiguousarray(rows)
+    width = rows.itemsize * rows.shape[1]
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(rows), [None, pa.py_buffer(rows.tobytes())]).cast(pa.binary())
+
+
+def _ranks(key: np.ndarray) -> np.ndarray:
+    """Place of each element of a sorted array among its equals."""
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    return np.arange(len(key)) - np.repeat(start, np.diff(np.r_[start, len(key)]))
+
+
 def _unit(column: pa.Array, size: int) -> np.ndarray:
     v = np.frombuffer(b"".join(column.to_pylist()), np.int16).reshape(-1, size).astype(np.float32)
     return v / np.sqrt((v.astype(np.float64) ** 2).sum(1))[:, None].astype(np.float32)
@@ -173,8 +186,7 @@ class Best:
         i, j, x = np.r_[old, i], np.r_[self.near[old, col], j], np.r_[self.cosine[old, col], x]
         order = np.lexsort((-x, i))  # stable: those met first come first
         i, j, x = i[order], j[order], x[order]
-        start = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
-        rank = np.arange(len(i)) - np.repeat(start, np.diff(np.r_[start, len(i)]))
+        rank = _ranks(i)
         keep = rank < k
         i, j, x, rank = i[keep], j[keep], x[keep], rank[keep]
         self.near[i, rank], self.cosine[i, rank], self.known[i, rank] = j, x, True
@@ -268,7 +280,7 @@ def moments(stored: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, int]:
     return mean, (x[size:].reshape(size, size) if n else np.zeros((size, size))) - np.outer(mean, mean), n
 
 
-def curve_keys(v: np.ndarray, name: np.ndarray, curve: int, mean: np.ndarray, covariance: np.ndarray) -> np.ndarray:
+def curve_keys(v: np.ndarray, curve: int, mean: np.ndarray, covariance: np.ndarray) -> np.ndarray:
     """Place of each unit vector on a curve, as numbers in its order."""
     q, shift = directions(curve, v.shape[1])
     spread = np.sqrt(np.maximum(np.einsum("ia,ij,ja->a", q, covariance, q), 1e-12))
@@ -278,49 +290,133 @@ def curve_keys(v: np.ndarray, name: np.ndarray, curve: int, mean: np.ndarray, co
     return (h ^ np.uint64(1 << 63)).view(np.int64)
 
 
+def _firsts(size: int, k: int):
+    """(class, id, v): the k + 1 smallest ids of each class in a batch."""
+
+    def run(batches):
+        for batch in batches:
+            rows, v = usable(batch.column("embedding"), size)
+            if not len(rows):
+                continue
+            ids = batch.column("id").to_numpy(zero_copy_only=False)[rows]
+            q = scaled(v)
+            name = class_of(q)
+            order = np.lexsort((ids, name))
+            at = order[_ranks(name[order]) <= k]
+            yield pa.RecordBatch.from_arrays([pa.array(name[at]), pa.array(ids[at]), _binary(q[at])], ["class", "id", "v"])
+
+    return run
+
+
 def _along(size: int, curves: int, mean: np.ndarray, covariance: np.ndarray):
-    """(curve, key, tie, class, v): each class once for each curve."""
+    """(curve, key, ids, v): each class once for each curve."""
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            name = batch.column("class").to_numpy(zero_copy_only=False)
             v = _unit(batch.column("v"), size).astype(np.float64)
+            ends = batch.column("ids").offsets.to_numpy()
+            ends = ((ends - ends[0]) * 8).astype(np.int32)
+            ids = pa.BinaryArray.from_buffers(pa.binary(), len(v), [None, pa.py_buffer(ends), pa.py_buffer(batch.column("ids").flatten().to_numpy().tobytes())])
             for c in range(curves):
-                key = curve_keys(v, name, c, mean, covariance)
-                tie = mix(name.view(np.uint64) ^ np.uint64(c + 1)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(name), c, np.int32)), pa.array(key), pa.array(tie), batch.column("class"), batch.column("v")], ["curve", "key", "tie", "class", "v"])
+                key = curve_keys(v, c, mean, covariance)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), c, np.int32)), pa.array(key), ids, batch.column("v")], ["curve", "key", "ids", "v"])
 
     return run
 
 
-LIST = np.dtype([("near", "<i8"), ("cosine", "<f4")])
+#: The cosine of an empty place in a list.
+NONE = np.float32(-4)
+
+
+def _best(near: np.ndarray, cosine: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best entries of each row, ties to the smaller id."""
+    order = np.argsort(near, axis=1, kind="stable")
+    near, cosine = np.take_along_axis(near, order, 1), np.take_along_axis(cosine, order, 1)
+    order = np.argsort(-cosine, axis=1, kind="stable")[:, :k]
+    return np.take_along_axis(near, order, 1), np.take_along_axis(cosine, order, 1)
+
+
+def _packed(near: np.ndarray, cosine: np.ndarray) -> pa.Array:
+    """Lists [rows, k] as bytes: the first byte of all entries, then the second and so on, as leading zeros of ids then stand
+    together and Spark's compression removes them."""
+    planes = [x.view(np.uint8).reshape(*x.shape, x.itemsize).transpose(0, 2, 1).reshape(len(x), -1) for x in map(np.ascontiguousarray, (near, cosine))]
+    return _binary(np.concatenate(planes, axis=1))
+
+
+def _unpacked(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    x = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 12 * k)
+    near, cosine = (np.ascontiguousarray(p.reshape(len(x), -1, k).transpose(0, 2, 1)) for p in (x[:, : 8 * k], x[:, 8 * k :]))
+    return near.view(np.int64)[:, :, 0], cosine.view(np.float32)[:, :, 0]
+
+
+class Copies:
+    """The first ids of those classes that have several: by the smallest, at most `most` of each."""
+
+    def __init__(self, lead: np.ndarray, ids: np.ndarray, fine: np.ndarray):
+        self.lead, self.ids, self.fine = lead, ids, fine
+
+    @classmethod
+    def of(cls, n: np.ndarray, flat: np.ndarray, most: int) -> Copies:
+        """From the number of ids of each class and all ids."""
+        at, start = np.flatnonzero(n > 1), np.cumsum(n) - n
+        at = at[np.argsort(flat[start[at]])]
+        fine = np.arange(most) < n[at, None]
+        return cls(flat[start[at]], np.where(fine, flat[np.minimum(start[at, None] + np.arange(most), len(flat) - 1)], 0), fine)
+
+    @classmethod
+    def together(cls, parts: list[Copies]) -> Copies:
+        lead = np.concatenate([p.lead for p in parts])
+        order = np.argsort(lead, kind="stable")
+        return cls(lead[order], np.concatenate([p.ids for p in parts])[order], np.concatenate([p.fine for p in parts])[order])
+
+    def find(self, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(is it among these classes, its row)."""
+        if not len(self.lead):
+            return np.zeros(lead.shape, bool), np.zeros(lead.shape, np.int64)
+        at = np.minimum(np.searchsorted(self.lead, lead), len(self.lead) - 1)
+        return self.lead[at] == lead, at
+
+    def named(self, near: np.ndarray, cosine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lists [rows, k] of classes -> the k best ids of each."""
+        k = near.shape[1]
+        many, at = self.find(near)
+        many &= cosine != NONE
+        rows = np.flatnonzero(many.any(1))
+        best = _best(near, cosine, k)
+        if len(rows):
+            shape = (len(rows), k, self.ids.shape[1])
+            one = np.arange(shape[2]) == 0
+            ids = np.where(many[rows, :, None], self.ids[at[rows]], near[rows, :, None])
+            fine = np.where(many[rows, :, None], self.fine[at[rows]], one)
+            c = np.where(fine, np.broadcast_to(cosine[rows, :, None], shape), NONE)
+            best[0][rows], best[1][rows] = _best(ids.reshape(len(rows), -1), c.reshape(len(rows), -1), k)
+        return best
 
 
 def _windows(size: int, k: int, floor: float, window: int):
-    """Sorted rows of a partition -> (class, list): the k best others of each class in its window and its neighbours."""
+    """Sorted rows of a partition -> (lead, many, list): the smallest id of each class, whether it has several, and the k best
+    ids of other classes in its window and its neighbours."""
 
-    def blocks(curve, name, v):
+    def blocks(name, v):
         return [Best(name[a : a + ROWS], v[a : a + ROWS], k, floor) for a in range(0, len(name), ROWS)]
 
-    def done(made: list[Best]):
+    def done(made: list[Best], copies: list[Copies]):
+        together = Copies.together(copies) if copies else None
         for b in made:
             b.merge()
-            n = b.known.sum(1)
-            at = np.flatnonzero(n)
+            at = np.flatnonzero(b.known.any(1))
             if len(at):
-                lists = np.zeros(int(n.sum()), LIST)
-                lists["near"], lists["cosine"] = b.near[b.known], b.cosine[b.known]
-                ends = np.cumsum(n[at]) * LIST.itemsize
-                raw = pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.r_[0, ends].astype(np.int32)), pa.py_buffer(lists.tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(b.name[at]), raw], ["class", "list"])
+                near, cosine = together.named(b.near[at], np.where(b.known[at], b.cosine[at], NONE))
+                many, _ = together.find(b.name[at])
+                yield pa.RecordBatch.from_arrays([pa.array(b.name[at]), pa.array(many), _packed(near, cosine)], ["lead", "many", "list"])
 
     def run(batches):
         out = np.empty((ROWS, ROWS), np.float32)
-        last, before = None, []
-        for curve, name, v in _runs(batches, size, window):
-            made = blocks(curve, name, v)
+        last, before, copies = None, [], []  # copies: of up to three windows, the last one and its neighbours
+        for curve, name, v, own in _runs(batches, size, window, k + 1):
+            made = blocks(name, v)
             for i, a in enumerate(made):
                 for b in made[i:]:
                     s = a.meet(b.name, b.v, out)
@@ -328,15 +424,15 @@ def _windows(size: int, k: int, floor: float, window: int):
                         b.look(a.name, s.T)
                 for b in before if curve == last else []:
                     b.look(a.name, a.meet(b.name, b.v, out).T)
-            yield from done(before)
-            last, before = curve, made
-        yield from done(before)
+            yield from done(before, [*copies, own] if curve == last else copies)
+            last, before, copies = curve, made, [*copies[-1:], own] if curve == last else [own]
+        yield from done(before, copies)
 
     return run
 
 
-def _runs(batches, size: int, window: int):
-    """(curve, names, unit vectors): `window` rows of one curve at a time, its last one with what is left."""
+def _runs(batches, size: int, window: int, most: int):
+    """(curve, smallest ids, unit vectors, copies): `window` rows of one curve at a time, its last one with what is left."""
     kept: list[pa.RecordBatch] = []
     n = 0
 
@@ -345,7 +441,9 @@ def _runs(batches, size: int, window: int):
         for part in np.split(np.arange(len(curve)), np.flatnonzero(np.diff(curve)) + 1):
             if len(part):
                 t = rows.slice(int(part[0]), len(part)).combine_chunks()
-                yield int(curve[part[0]]), t.column("class").to_numpy(), _unit(t.column("v"), size)
+                ids = t.column("ids").to_pylist()
+                count, flat = np.array([len(x) for x in ids]) // 8, np.frombuffer(b"".join(ids), np.int64)
+                yield int(curve[part[0]]), flat[np.cumsum(count) - count], _unit(t.column("v"), size), Copies.of(count, flat, most)
 
     for batch in batches:
         at = 0
@@ -361,45 +459,65 @@ def _runs(batches, size: int, window: int):
 
 
 def _merged(k: int):
-    """Rows (class, list) sorted by class -> (class, near, cosine): the k best different ones of each class."""
-
-    def best(name: np.ndarray, raw: list[bytes]):
-        n = np.array([len(x) for x in raw]) // LIST.itemsize
-        lists = np.frombuffer(b"".join(raw), LIST)
-        i, near, cosine = np.repeat(name, n), lists["near"], lists["cosine"]
-        order = np.lexsort((-cosine, near, i))
-        i, near, cosine = i[order], near[order], cosine[order]
-        new = np.r_[True, (i[1:] != i[:-1]) | (near[1:] != near[:-1])]
-        i, near, cosine = i[new], near[new], cosine[new]
-        order = np.lexsort((near, -cosine, i))
-        i, near, cosine = i[order], near[order], cosine[order]
-        start = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
-        keep = np.arange(len(i)) - np.repeat(start, np.diff(np.r_[start, len(i)])) < k
-        return pa.RecordBatch.from_arrays([pa.array(i[keep]), pa.array(near[keep]), pa.array(cosine[keep].astype(np.float64))], ["class", "near", "cosine"])
+    """Rows (lead, many, list) sorted by lead, one of each curve at most -> the k best different ids of each lead."""
+
+    def best(rows: pa.Table):
+        name = rows.column("lead").to_numpy()
+        near, cosine = _unpacked(rows.column("list"), k)
+        rank = _ranks(name)
+        first = np.flatnonzero(rank == 0)
+        wide = np.cumsum(rank == 0) - 1, rank
+        all_near, all_cosine = np.zeros((len(first), rank.max() + 1, k), np.int64), np.full((len(first), rank.max() + 1, k), NONE)
+        all_near[wide], all_cosine[wide] = near, cosine
+        near, cosine = _best(all_near.reshape(len(first), -1), all_cosine.reshape(len(first), -1), all_near.shape[1] * k)
+        order = np.argsort(near, axis=1, kind="stable")  # of one id the best cosine comes first
+        near, cosine = np.take_along_axis(near, order, 1), np.take_along_axis(cosine, order, 1)
+        again = (near[:, 1:] == near[:, :-1]) & (cosine[:, :-1] != NONE)
+        cosine[:, 1:][again] = NONE
+        lists = _packed(*_best(near, cosine, k))
+        return pa.RecordBatch.from_arrays([pa.array(name[first]), rows.column("many").combine_chunks().take(pa.array(first)), lists], ["lead", "many", "list"])
 
     def run(batches):
-        name, raw = np.zeros(0, np.int64), []
+        kept = None
         for batch in batches:
-            name, raw = np.r_[name, batch.column("class").to_numpy(zero_copy_only=False)], raw + batch.column("list").to_pylist()
-            last = int(np.searchsorted(name, name[-1])) if len(name) else 0  # the last class may go on in the next batch
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = pa.concat_tables([kept, rows]) if kept is not None else rows
+            name = rows.column("lead").to_numpy()
+            last = int(np.searchsorted(name, name[-1]))  # the last class may go on in the next batch
             if last:
-                yield best(name[:last], raw[:last])
-                name, raw = name[last:], raw[last:]
-        if raw:
-            yield best(name, raw)
+                yield best(rows.slice(0, last))
+            kept = rows.slice(last)
+        if kept is not None:
+            yield best(kept)
+
+    return run
+
+
+def _entries(k: int):
+    """(lead, list) -> (id, near_id, cosine, rank)."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                near, cosine = _unpacked(batch.column("list"), k)
+                i, r = np.nonzero(cosine != NONE)
+                x = np.minimum(cosine[i, r].astype(np.float64), 1.0)
+                yield pa.RecordBatch.from_arrays([batch.column("lead").take(pa.array(i)), pa.array(near[i, r]), pa.array(x), pa.array((r + 1).astype(np.int32))], ["id", "near_id", "cosine", "rank"])
 
     return run
 
 
-def curve_hits(vectors: DataFrame, k: int, size: int, floor: float, curves: int, window: int) -> DataFrame:
-    """As class_hits, among the classes that stand near each other on some curve."""
-    stored = cut(_stored(vectors, size).select("class", "v"))
+def curve_lists(stored: DataFrame, k: int, size: int, floor: float, curves: int, window: int) -> DataFrame:
+    """Classes (ids, v) -> (lead, many, list): the k best ids of other classes for each class, by its smallest id, packed."""
     mean, covariance, n = moments(stored, size)
     tasks = curves * max(1, -(-n // (SPAN * window)))
-    placed = stored.mapInArrow(_along(size, curves, mean, covariance), "curve int, key bigint, tie bigint, class bigint, v binary")
-    ordered = placed.repartitionByRange(tasks, "curve", "key", "tie").sortWithinPartitions("curve", "key", "tie")
-    lists = ordered.mapInArrow(_windows(size, k, floor, window), "class bigint, list binary")
-    return cut(lists.repartition("class").sortWithinPartitions("class").mapInArrow(_merged(k), "class bigint, near bigint, cosine double"))
+    placed = stored.select("ids", "v").mapInArrow(_along(size, curves, mean, covariance), "curve int, key bigint, ids binary, v binary")
+    order = [F.col("curve"), F.col("key"), F.xxhash64("ids", "curve")]
+    ordered = placed.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    lists = ordered.mapInArrow(_windows(size, k, floor, window), "lead bigint, many boolean, list binary")
+    return cut(lists.repartition(tasks, "lead").sortWithinPartitions("lead").mapInArrow(_merged(k), "lead bigint, many boolean, list binary"))
 
 
 def _first(df: DataFrame, key: str, order: list[Column], k: int) -> DataFrame:
@@ -419,7 +537,7 @@ def _named(members: DataFrame, hits: DataFrame, k: int) -> DataFrame:
 
 def _members(vectors: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     """(vectors (id, embedding), the class of each usable one)."""
-    vectors = vectors.select(F.col("id").cast("bigint").alias("id"), "embedding")
+    vectors = vectors.select(F.col("id").cast("bigint").alias("id"), "embedding").filter("id is not null")
     return vectors, cut(vectors.mapInArrow(_names(size), "id bigint, class bigint"))
 
 
@@ -439,7 +557,18 @@ def near_ids(vectors: DataFrame, k: int = 10, size: int = 64, floor: float = -2.
 def curve_ids(vectors: DataFrame, k: int = 10, size: int = 64, floor: float = -2.0, curves: int = CURVES, window: int = WINDOW) -> DataFrame:
     """As near_ids, of the others that stand near on some of the curves: nearly all, with work in proportion to the table."""
     vectors, members = _members(vectors, size)
-    return _named(members, curve_hits(vectors, k, size, floor, curves, window), k)
+    firsts = _first(vectors.mapInArrow(_firsts(size, k), "class bigint, id bigint, v binary"), "class", [F.asc("id")], k + 1)
+    stored = cut(firsts.groupBy("class").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.first("v").alias("v")))  # k + 1 ids at most
+    lists = curve_lists(stored, k, size, floor, curves, window)
+    entry = "id bigint, near_id bigint, cosine double, rank int"
+    single = lists.filter("not many").select("lead", "list").mapInArrow(_entries(k), entry)
+    far = lists.filter("many").select("lead", "list").mapInArrow(_entries(k), entry).groupBy(F.col("id").alias("lead"))
+    far = far.agg(F.collect_list(F.struct((-F.col("cosine")).alias("less"), "near_id")).alias("far"))  # k at most
+    own = stored.filter(F.size("ids") > 1).select("class", F.col("ids")[0].alias("lead"), F.transform("ids", lambda i: F.struct(F.lit(-1.0).alias("less"), i.alias("near_id"))).alias("own"))
+    near = F.sort_array(F.when(F.col("far").isNull(), F.col("own")).otherwise(F.concat("own", "far")))
+    copied = salted_join(members, own.join(far, "lead", "left").select("class", near.alias("near")), ["class"])
+    copied = copied.select("id", F.posexplode(F.slice(F.filter("near", lambda x: x["near_id"] != F.col("id")), 1, k)).alias("at", "x"))
+    return single.unionByName(copied.select("id", "x.near_id", (-F.col("x.less")).alias("cosine"), (F.col("at") + 1).alias("rank")))
 
 
 def recall(vectors: DataFrame, asked: Column, k: int = 10, size: int = 64, curves: int = CURVES, window: int = WINDOW) -> DataFrame:
