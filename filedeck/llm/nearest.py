@@ -141,6 +141,16 @@ def _stream(files: list[str], size: int, most: int = 16 * 1024):
                 yield batch.column("class").to_numpy(zero_copy_only=False), _unit(batch.column("v"), size)
 
 
+def _true(fine: np.ndarray) -> np.ndarray:
+    """Places of the few true values of a boolean array, looked for in eights."""
+    flat = fine.ravel()
+    if len(flat) % 8:
+        return np.flatnonzero(flat)
+    eights = flat.view(np.uint64).nonzero()[0]
+    row, bit = flat.reshape(-1, 8)[eights].nonzero()
+    return eights[row] * 8 + bit
+
+
 class Best:
     """The k best others of each of some vectors so far, the first met first among equals."""
 
@@ -158,17 +168,18 @@ class Best:
         self.look(name, s)
         return s
 
-    def look(self, name: np.ndarray, s: np.ndarray) -> None:
-        """Take what is good enough of cosines [own vectors, others] with others of these names."""
-        rows = np.flatnonzero(s.max(1) > self.least)
-        if not len(rows):
+    def look(self, name: np.ndarray, s: np.ndarray, across: bool = False) -> None:
+        """Take what is good enough of cosines [own vectors, others] with others of these names; across: [others, own vectors]."""
+        fine = s > (self.least if across else self.least[:, None])
+        n = np.count_nonzero(fine)
+        if not n:
             return
-        s = s[rows]
-        fine = s > self.least[rows, None]
-        if s.shape[1] > self.k + 1 and np.count_nonzero(fine) > 4 * self.k * len(rows):  # k + 1: one may be the vector itself
-            fine &= s >= np.partition(s, -self.k - 1, axis=1)[:, -self.k - 1, None]
-        i, j = np.nonzero(fine)
-        x, i, j = s[i, j], rows[i], name[j]
+        if len(name) > self.k + 1 and n > 4 * self.k * len(self.v):  # k + 1: one may be the vector itself
+            least = np.partition(s.T if across else s, -self.k - 1, axis=1)[:, -self.k - 1]
+            fine &= s >= (least if across else least[:, None])
+        i, j = np.divmod(_true(fine), s.shape[1])
+        x = s[i, j]
+        i, j = (j, name[i]) if across else (i, name[j])
         other = self.name[i] != j
         self.rest.append((i[other], j[other], x[other]))
         self.n_rest += int(other.sum())
@@ -184,7 +195,7 @@ class Best:
         old, col = np.nonzero(self.known[u])
         old = u[old]
         i, j, x = np.r_[old, i], np.r_[self.near[old, col], j], np.r_[self.cosine[old, col], x]
-        order = np.lexsort((-x, i))  # stable: those met first come first
+        order = np.argsort(4.0 * i - x, kind="stable")  # by i, then the highest cosine, then those met first
         i, j, x = i[order], j[order], x[order]
         rank = _ranks(i)
         keep = rank < k
@@ -421,9 +432,9 @@ def _windows(size: int, k: int, floor: float, window: int):
                 for b in made[i:]:
                     s = a.meet(b.name, b.v, out)
                     if b is not a:
-                        b.look(a.name, s.T)
+                        b.look(a.name, s, across=True)
                 for b in before if curve == last else []:
-                    b.look(a.name, a.meet(b.name, b.v, out).T)
+                    b.look(a.name, a.meet(b.name, b.v, out), across=True)
             yield from done(before, [*copies, own] if curve == last else copies)
             last, before, copies = curve, made, [*copies[-1:], own] if curve == last else [own]
         yield from done(before, copies)
