@@ -321,6 +321,38 @@ def test_curves_with_odd_rows(spark):
     assert nearest.recall(df, F.col("id") < 50).first()["recall"] == 1
 
 
+def test_curves_of_small_groups_of_copies(spark):
+    """Every class has one to three members and each list names ids of all members: as all with all; a row without an id takes no part."""
+    v = vectors(400, 14)
+    v = np.concatenate([v, 2 * v[:200], 3 * v[:100]])
+    ids = np.random.default_rng(15).permutation(len(v)) * 7 - 900
+    data = [(int(i), x.tolist()) for i, x in zip(ids, v)] + [(None, v[0].tolist())]
+    df = spark.createDataFrame(data, CURVED).repartition(4)
+    s, _ = brute(ids, v, 10)
+    order = np.lexsort((np.broadcast_to(ids, s.shape), -s.round(9)), axis=1)[:, :10]  # copies are ties
+    exact = {(int(i), int(ids[j])) for i, near in zip(ids, order) for j in near}
+    found = rows(nearest.curve_ids(df), "id", "near_id")
+    assert len(found) == len(set(found)) == 7000
+    assert len(set(found) & exact) / 7000 > 0.999
+    assert set(found) == set(rows(nearest.near_ids(df), "id", "near_id"))
+    ranks = collections.defaultdict(list)
+    for i, r, c in rows(nearest.curve_ids(df, window=100), "id", "rank", "cosine"):
+        ranks[i].append((r, c))
+    assert all([r for r, _ in sorted(x)] == list(range(1, 11)) and [c for _, c in sorted(x)] == sorted((c for _, c in x), reverse=True) for x in ranks.values())
+
+
+def test_lists_packed():
+    """Lists come back from bytes as they were, any id and empty places included."""
+    r = np.random.default_rng(16)
+    near = r.integers(-(2**63), 2**63 - 1, (50, 10))
+    cosine = np.where(r.random((50, 10)) < 0.3, nearest.NONE, r.random((50, 10)).astype(np.float32))
+    back = nearest._unpacked(nearest._packed(near, cosine), 10)
+    assert (back[0] == near).all() and (back[1] == cosine).all()
+    for n in (0, 7, 64, 1000):
+        x = r.random((n, 8)) < 0.1
+        assert (nearest._true(x) == np.flatnonzero(x)).all() and (nearest._true(x[:, :7]) == np.flatnonzero(x[:, :7])).all()
+
+
 def test_hilbert_is_a_walk():
     """Each step of the curve goes to a neighbouring cell, and every cell is met once."""
     points = np.array(list(itertools.product(range(8), repeat=3)))
