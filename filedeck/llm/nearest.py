@@ -155,7 +155,7 @@ class Best:
     """The k best others of each of some vectors so far, the first met first among equals."""
 
     def __init__(self, name: np.ndarray, v: np.ndarray, k: int, floor: float):
-        self.name, self.v, self.k = name, v, k
+        self.name, self.v, self.k, self.floor = name, v, k, np.float32(floor)
         self.cosine = np.full((len(v), k), np.nextafter(np.float32(floor), np.float32(-4)))
         self.near, self.known = np.zeros((len(v), k), np.int64), np.zeros((len(v), k), bool)
         self.least = self.cosine[:, -1].copy()  # what the next one must be above
@@ -170,6 +170,8 @@ class Best:
 
     def look(self, name: np.ndarray, s: np.ndarray, across: bool = False) -> None:
         """Take what is good enough of cosines [own vectors, others] with others of these names; across: [others, own vectors]."""
+        if self.floor > -1 and s.max() < self.floor:  # with a floor most tiles hold nothing
+            return
         fine = s > (self.least if across else self.least[:, None])
         n = np.count_nonzero(fine)
         if not n:
