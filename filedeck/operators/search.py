@@ -8,10 +8,12 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from decimal import ROUND_HALF_UP, Decimal
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,12 @@ POOL, TOP, CANDIDATES = 20, 5, 100
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Vectors in one block of the dense search.
 ROWS, QUERIES = 4096, 512
+#: Rows of the corpus and queries in one block of the sparse search, and queries scored at once.
+SPARSE_ROWS, SPARSE_QUERIES, AT_ONCE = 4096, 4096, 256
+#: Queries whose lists one task holds: k places of two numbers each, and as many that wait to be merged.
+TOGETHER = 32_768
+#: Weights of at least this much have products above 0.
+LEAST = 1e-150
 
 
 def ranked(scored: DataFrame, k: int, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
@@ -34,6 +42,76 @@ def ranked(scored: DataFrame, k: int, keys: tuple[str, ...] = ("query_id",)) ->
     return s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+class Best:
+    """The k best rows so far of each query of a block, in the order of ranked(); it grows no further, however many rows come."""
+
+    def __init__(self, query_ids: np.ndarray, k: int):
+        self.query_ids, self.k = query_ids, k
+        #: The score a row needs at least to be added.
+        self.least = np.full(len(query_ids), -np.inf)
+        self.kept, self.waiting, self.n = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))], [], 0
+
+    def floor(self, scores: np.ndarray, at: slice, common: np.ndarray | None = None) -> np.ndarray:
+        """The score before rounding from which a row of `scores` (a row for each query of `at`) may be among the k best; common: the rows that count."""
+        low, over = self.least[at].copy(), scores.shape[1] - self.k
+        if over > 0 and (new := np.isneginf(low)).any():
+            if common is not None:
+                new[new] = common[new].sum(1) > self.k
+            part = scores[new] if common is None else np.where(common[new], scores[new], -np.inf)
+            low[new] = np.partition(part, over, axis=1)[:, over]
+        return low - 1e-6
+
+    def add(self, q: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        self.waiting.append((q, ids, scores))
+        self.n += len(q)
+        if self.n > self.k * len(self.query_ids):
+            self.merge()
+
+    def merge(self) -> None:
+        q, ids, scores = (np.concatenate(x) for x in zip(*self.kept, *self.waiting))
+        order = np.lexsort((ids, -scores, q))
+        q, ids, scores = q[order], ids[order], scores[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        fine = place < self.k
+        self.least[q[place == self.k - 1]] = scores[place == self.k - 1]
+        self.kept, self.waiting, self.n = [(q[fine], ids[fine], scores[fine])], [], 0
+
+    def rows(self):
+        """(query_id, id, score) in batches; a score of -inf is none."""
+        self.merge()
+        q, ids, scores = self.kept[0]
+        for at in range(0, len(q), 100_000):
+            part = slice(at, at + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(self.query_ids[q[part]]), pa.array(ids[part]), pa.array(scores[part], mask=np.isneginf(scores[part]))], ["query_id", "id", "score"])
+
+
+def _meet(queries: DataFrame, corpus: DataFrame, pack, rows: int, query_rows: int, compare) -> DataFrame:
+    """(query_id, id, score): the k best rows of each query in each part of the corpus. Queries (id, ...) and corpus (id, ...) are packed into
+    blocks and every block meets every other; a task holds the lists of its queries, so that is all it hands on.
+    The corpus is read once for each TOGETHER queries."""
+    spark = corpus.sparkSession
+    groups = -(-queries.count() // TOGETHER) or 1
+    (schema, run), (_, run_queries) = pack(rows), pack(query_rows)
+    right = queries.repartition(groups).mapInArrow(run_queries, schema)
+    left = corpus.coalesce(2 * spark.sparkContext.defaultParallelism).mapInArrow(run, schema)
+    # by hint: the join must not be turned round, a task's queries meet its part of the corpus block by block
+    met = left.select(F.struct("*").alias("c")).hint("shuffle_replicate_nl").crossJoin(right.select(F.struct("*").alias("q")))
+    return met.mapInArrow(compare, "query_id bigint, id bigint, score double")
+
+
+def _each(batches, k: int, score):
+    """The lists of a task's queries; score(query block, corpus block, best) adds to them. A block of queries is made ready once."""
+    best: dict[bytes, tuple] = {}
+    for batch in batches:
+        for n in range(batch.num_rows):
+            c, q = batch.column("c")[n].as_py(), batch.column("q")[n].as_py()
+            if q["ids"] not in best:
+                best[q["ids"]] = ({}, Best(np.frombuffer(q["ids"], np.int64), k))
+            score(q, c, *best[q["ids"]])
+    for _, b in best.values():
+        yield from b.rows()
+
+
 # Dense
 
 
@@ -47,35 +125,26 @@ def _blocks(rows: int):
                 v = v / np.sqrt((v * v).sum(1))[:, None]
                 yield pa.RecordBatch.from_arrays([pa.array([b.column("id").to_numpy(zero_copy_only=False).astype(np.int64).tobytes()]), pa.array([v.tobytes()])], ["ids", "v"])
 
-    return run
+    return "ids binary, v binary", run
 
 
 def _compare(k: int):
-    def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                q, ids = np.frombuffer(row["query_ids"], np.int64), np.frombuffer(row["ids"], np.int64)
-                s = np.round(np.frombuffer(row["q"]).reshape(len(q), -1) @ np.frombuffer(row["v"]).reshape(len(ids), -1).T, 6)
-                if len(ids) > k:
-                    least = np.partition(s, len(ids) - k, axis=1)[:, len(ids) - k]
-                else:
-                    least = np.full(len(q), -2.0)
-                i, j = np.nonzero(s >= least[:, None])  # ties of the last place stay until all blocks are in
-                yield pa.RecordBatch.from_arrays([pa.array(q[i]), pa.array(ids[j]), pa.array(s[i, j])], ["query_id", "id", "score"])
+    def score(q, c, _, best):
+        ids = np.frombuffer(c["ids"], np.int64)
+        s = np.frombuffer(q["v"]).reshape(len(best.query_ids), -1) @ np.frombuffer(c["v"]).reshape(len(ids), -1).T
+        i, j = np.nonzero(s >= best.floor(s, slice(None))[:, None])
+        best.add(i, ids[j], np.round(s[i, j], 6))
 
-    return run
+    return lambda batches: _each(batches, k, score)
 
 
 def dense(queries: DataFrame, corpus: DataFrame, k: int = CANDIDATES) -> DataFrame:
-    """queries (query_id bigint, embedding), corpus (id bigint, embedding) -> exact cosine top k.
+    """queries (query_id bigint unique, embedding), corpus (id bigint unique, embedding) -> exact cosine top k.
 
-    Both sides meet in blocks of vectors, each pair of blocks one matrix product; a block pair hands on k rows
+    Both sides meet in blocks of vectors, each pair of blocks one matrix product; a task hands on k rows
     a query. Null and all-zero vectors take no part; all vectors must have one length."""
     ready = lambda df, key: df.filter(usable(F.col("embedding"))).select(F.col(key).cast("bigint").alias("id"), F.col("embedding").alias("v"))
-    left = ready(corpus, "id").mapInArrow(_blocks(ROWS), "ids binary, v binary")
-    right = ready(queries, "query_id").mapInArrow(_blocks(QUERIES), "ids binary, v binary").select(F.col("ids").alias("query_ids"), F.col("v").alias("q"))
-    met = left.crossJoin(right).mapInArrow(_compare(k), "query_id bigint, id bigint, score double")  # blocks, not rows
-    return ranked(met, k)
+    return ranked(_meet(ready(queries, "query_id"), ready(corpus, "id"), _blocks, ROWS, QUERIES, _compare(k)), k)
 
 
 def split_queries(queries: DataFrame, by: str) -> tuple[DataFrame, DataFrame | None]:
@@ -107,15 +176,91 @@ def postings(corpus: DataFrame, *keep: str) -> DataFrame:
     return corpus.filter("sparse is not null").select("id", *keep, F.explode("sparse").alias("token", "weight"))
 
 
+def rounded(scores: np.ndarray) -> np.ndarray:
+    """Six places, halves of the shortest decimal form away from zero, as ranked() rounds."""
+    x = np.abs(scores) * 1e6
+    out = np.where(x < 2**52, np.copysign(np.floor(x + 0.5) / 1e6, scores), scores)
+    for i in np.flatnonzero((np.abs(x - np.floor(x) - 0.5) < 1e-3) & (x < 2**52)):
+        out[i] = float(Decimal(repr(float(scores[i]))).quantize(Decimal("0.000001"), ROUND_HALF_UP))
+    return out
+
+
+def _posting_blocks(rows: int):
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, rows):
+                b = whole.slice(at, rows)
+                tokens, weights = b.column("tokens"), b.column("weights").flatten()
+                of = np.repeat(np.arange(b.num_rows, dtype=np.int32), pc.list_value_length(tokens).to_numpy(zero_copy_only=False))
+                chars = pa.concat_arrays([tokens.flatten().cast(pa.string())])
+                ends = np.cumsum(pc.binary_length(chars).to_numpy(zero_copy_only=False), dtype=np.int32)
+                text = pc.binary_join(pa.ListArray.from_arrays([0, len(chars)], chars), "")[0].as_buffer().to_pybytes() if len(chars) else b""
+                w = weights.cast(pa.float64()).to_numpy(zero_copy_only=False)  # a null is nan
+                parts = [b.column("id").to_numpy(zero_copy_only=False).astype(np.int64).tobytes(), of.tobytes(), np.r_[np.int32(0), ends].astype(np.int32).tobytes(), text, w.tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in parts], ["ids", "of", "ends", "chars", "weights"])
+
+    return "ids binary, of binary, ends binary, chars binary, weights binary", run
+
+
+def _tokens(block: dict) -> pa.StringArray:
+    return pa.StringArray.from_buffers(len(block["ends"]) // 4 - 1, pa.py_buffer(block["ends"]), pa.py_buffer(block["chars"]))
+
+
+def _multiply(k: int):
+    def ready(q: dict, n: int) -> dict:
+        """Postings of the queries by slice and token, and where those of each token begin in each slice."""
+        coded = _tokens(q).dictionary_encode()
+        code, of, weight = coded.indices.to_numpy(zero_copy_only=False), np.frombuffer(q["of"], np.int32), np.frombuffer(q["weights"])
+        kinds = len(coded.dictionary)
+        key = of // AT_ONCE * np.int64(kinds) + code
+        order = np.argsort(key, kind="stable")
+        slices = -(-n // AT_ONCE)
+        return {"names": coded.dictionary, "of": of[order] % AT_ONCE, "weight": weight[order], "first": np.searchsorted(key[order], np.arange(slices * kinds + 1)), "kinds": kinds, "slices": slices}
+
+    def score(q, c, made, best):
+        if not made:
+            made |= ready(q, len(best.query_ids))
+        ids, kinds = np.frombuffer(c["ids"], np.int64), made["kinds"]
+        code = pc.index_in(_tokens(c), value_set=made["names"])
+        have = np.flatnonzero(code.is_valid().to_numpy(zero_copy_only=False))
+        code = code.take(pa.array(have)).to_numpy(zero_copy_only=False).astype(np.int64)
+        of, weight = np.frombuffer(c["of"], np.int32)[have].astype(np.int64), np.frombuffer(c["weights"])[have]
+        for x in range(made["slices"]):
+            a = made["first"][x * kinds + code]
+            n = made["first"][x * kinds + code + 1] - a
+            at = np.repeat(a - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
+            products = np.repeat(weight, n) * made["weight"][at]
+            cell = made["of"][at] * np.int64(len(ids)) + np.repeat(of, n)
+            queries = slice(x * AT_ONCE, min((x + 1) * AT_ONCE, len(best.query_ids)))
+            shape = (queries.stop - queries.start, len(ids))
+            if len(products) and not products.min() >= LEAST:  # products of no worth: rows with a common token are told by counts
+                worth = ~np.isnan(products)
+                s = np.bincount(cell, np.where(worth, products, 0.0), shape[0] * shape[1])
+                s[np.bincount(cell[worth], minlength=len(s)) == 0] = -np.inf
+                common = np.bincount(cell, minlength=len(s)).reshape(shape) > 0
+                s = s.reshape(shape)
+            else:
+                s = np.bincount(cell, products, shape[0] * shape[1]).reshape(shape)
+                common = s > 0
+            low = best.floor(s, queries, common)
+            i, j = np.nonzero(common & (s >= low[:, None]))
+            best.add(i + queries.start, ids[j], rounded(s[i, j]))
+
+    return lambda batches: _each(batches, k, score)
+
+
 def sparse(queries: DataFrame, corpus: DataFrame, k: int = CANDIDATES, by: str | None = None) -> DataFrame:
-    """Top k by the inner product of token weights; only rows with a token in common appear.
+    """queries (query_id bigint unique, sparse map), corpus (id bigint unique, sparse map) -> top k by the inner product of token weights.
 
+    Only rows with a token in common appear; a null weight adds nothing. Both sides meet in blocks, as in dense: products
+    are added up within a block and a task hands on k rows a query.
     With `by`, postings of another value are left out before scoring, but for queries without a value."""
     if by is None:
-        return ranked(_products(queries, corpus), k)
+        ready = lambda df, key: df.filter("sparse is not null").select(F.col(key).cast("bigint").alias("id"), F.map_keys("sparse").alias("tokens"), F.map_values("sparse").alias("weights"))
+        return ranked(_meet(ready(queries, "query_id"), ready(corpus, "id"), _posting_blocks, SPARSE_ROWS, SPARSE_QUERIES, _multiply(k)), k)
     some, free = split_queries(queries, by)
-    met = _products(some, corpus, by)
-    return ranked(met.unionByName(_products(free, corpus)) if free is not None else met, k)
+    found = ranked(_products(some, corpus, by), k)
+    return found.unionByName(sparse(free, corpus, k)) if free is not None else found
 
 
 def _products(queries: DataFrame, corpus: DataFrame, *keep: str) -> DataFrame:

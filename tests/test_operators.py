@@ -141,6 +141,36 @@ def test_sparse(spark):
     assert rows(search.sparse(q, df, 5, "c"), "id") == [(2,)]
 
 
+def test_sparse_over_blocks(spark, monkeypatch):
+    """Blocks of any size give the lists of plain Python, and products are not handed on: a task gives k rows a query."""
+    from decimal import ROUND_HALF_UP, Decimal
+
+    r = random.Random(3)
+    names = ["all", *"abcdefgh"]
+    made = lambda: {t: r.choice([0.25, 0.5, 1.0]) for t in names if t == "all" or r.random() < 0.3}
+    data = [(i, made()) for i in range(700)] + [(700, {"all": 0.0}), (701, {"all": -1.0}), (702, {"all": None}), (703, {}), (704, None), (705, {"z": 1.0}), (706, {"half": 0.0000125})]
+    asked = [(i, made()) for i in range(300)] + [(300, {"all": 1.0}), (301, {"z": 2.0}), (302, {"none": 1.0}), (303, None), (304, {"half": 0.2})]
+    k = 900
+    expected = set()
+    for q, mine in asked:
+        found = []
+        for i, row in data:
+            if common := set(mine or ()) & set(row or ()):
+                worth = [mine[t] * row[t] for t in common if row[t] is not None]
+                found.append((float(Decimal(repr(sum(worth))).quantize(Decimal("0.000001"), ROUND_HALF_UP)) if worth else None, i))
+        found.sort(key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+        expected |= {(q, i, score, n) for n, (score, i) in enumerate(found, 1)}
+    corpus = spark.createDataFrame(data, "id bigint, sparse map<string,double>").repartition(3)
+    queries = spark.createDataFrame(asked, "query_id bigint, sparse map<string,double>")
+    assert {tuple(x) for x in search.sparse(queries, corpus, k).select("query_id", "id", "score", "rank").collect()} == expected
+    monkeypatch.setattr(search, "SPARSE_ROWS", 64)
+    monkeypatch.setattr(search, "SPARSE_QUERIES", 100)
+    few = {x for x in expected if x[3] <= 7}
+    assert {tuple(x) for x in search.sparse(queries, corpus, 7).select("query_id", "id", "score", "rank").collect()} == few
+    ready = [x.select(c, F.map_keys("sparse").alias("tokens"), F.map_values("sparse").alias("weights")).withColumnRenamed("query_id", "id").filter("tokens is not null") for x, c in ((queries, "query_id"), (corpus, "id"))]
+    assert search._meet(*ready, search._posting_blocks, 64, 100, search._multiply(7)).count() <= 3 * 7 * len(asked)
+
+
 def test_bm25(spark):
     import math
 
