@@ -152,6 +152,16 @@ def test_repeated_lines_at_mixed_rates(spark):
     assert found == lines_model(data) == [(i, 2) for i in range(5)]
 
 
+def test_places_without_tests(spark, monkeypatch):
+    """Where the decision of the tests is not used they are not made; the lines at the level are the same."""
+    data = [(100 * s + i, f"s{s}", f"본문 {chr(0xAC00 + 60 * s + i)}" + "\n알림" * (i < (5 if s == 0 else 4))) for s in range(40) for i in range(20)] + [(9000, None, "알림"), (9001, "s0", None)]
+    df = spark.createDataFrame(data, "id bigint, source string, text string")
+    all_places = rows(repeated_lines.repeated(df), "id", "line_no", "source", "n_ids")
+    monkeypatch.setattr(repeated_lines, "assessed", None)
+    assert rows(repeated_lines.places(df), "id", "line_no", "source", "n_ids") == all_places and len(all_places) == 5
+    assert repeated_lines.places(df.limit(0)).count() == 0
+
+
 def test_ordinary_words_are_no_excess():
     """The rate elsewhere counts: a share equal to it is not significant."""
     assert repeated_lines.cutoff({0: 100}, 0.05) == float("inf")
