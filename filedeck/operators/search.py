@@ -379,10 +379,9 @@ def sweep(first: DataFrame, second: DataFrame, weights: list[float], k: int) ->
 
 def overlap(first: DataFrame, second: DataFrame, k: int) -> DataFrame:
     """(query_id, n_common) of two lists' first k rows, 0 included."""
-    a, b = (x.filter(F.col("rank") <= k).select("query_id", "id") for x in (first, second))
-    common = a.join(b, ["query_id", "id"], "left_semi").groupBy("query_id").agg(F.count("*").alias("n"))
-    every = a.select("query_id").union(b.select("query_id")).distinct()
-    return every.join(common, "query_id", "left").select("query_id", F.coalesce("n", F.lit(0)).alias("n_common"))
+    # one pass over both: each list is made once
+    rows = _union([first, second]).filter(F.col("rank") <= k).groupBy("query_id", "id").agg((F.min("list") < F.max("list")).alias("both"))
+    return rows.groupBy("query_id").agg(F.count_if("both").alias("n_common"))
 
 
 def hybrid(dense_list: DataFrame, sparse_list: DataFrame, k: int = TOP) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 import statistics
 
+import pytest
 from pyspark.sql import functions as F
 
 from filedeck.operators import chunking, context, entities, evaluate, search
@@ -171,6 +172,48 @@ def test_sparse_over_blocks(spark, monkeypatch):
     assert search._meet(*ready, search._posting_blocks, 64, 100, search._multiply(7)).count() <= 3 * 7 * len(asked)
 
 
+def test_overlap_makes_each_list_once(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0], {"x": 1.0}), (2, [0.0, 1.0], {"x": 2.0}), (3, [1.0, 1.0], {"y": 1.0})], "id bigint, embedding array<float>, sparse map<string,double>")
+    q = df.withColumnRenamed("id", "query_id")
+    found = search.overlap(search.dense(q, df, 2), search.sparse(q, df, 2), 2)
+    assert rows(found, "query_id", "n_common") == [(1, 1), (2, 1), (3, 1)] and dict(found.dtypes)["n_common"] == "bigint"
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 6  # blocks of either side and their meeting, for two lists
+
+
+def exchanged(df):
+    """Rows that the exchanges of a query are given."""
+    df.collect()
+
+    def walk(node):
+        name = node.nodeName()
+        if name.startswith(("AdaptiveSparkPlan", "ResultQueryStage", "ShuffleQueryStage")):
+            return walk(node.executedPlan() if name.startswith("Adaptive") else node.plan())
+        below = node.children()
+        own = node.metrics().get("shuffleRecordsWritten").get().value() if name.startswith("Exchange") else 0
+        return own + sum(walk(below.apply(n)) for n in range(below.size()))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+@pytest.fixture(scope="module")
+def common_token(spark, tmp_path_factory):
+    """20,000 chunks that all hold one token, so that each of 200 queries meets every one of them."""
+    d = str(tmp_path_factory.mktemp("common"))
+    near = F.array(*(F.sin(F.col("id") * (n + 1)).cast("float") for n in range(4)))
+    own = F.concat(F.lit("t"), (F.col("id") % 500).cast("string"))
+    rows_ = spark.range(20_000).select("id", F.expr("cast(id div 20 as string)").alias("rcept_no"), F.array(F.lit("s")).alias("section_path"), F.lit("paragraph").alias("chunk_type"), F.concat(F.lit("매출 "), own).alias("text"), near.alias("embedding"), F.create_map(F.lit("all"), F.lit(1.0), own, F.lit(0.5)).alias("sparse"))
+    rows_.write.parquet(f"{d}/chunks.parquet")
+    return d
+
+
+@pytest.mark.parametrize("name", ["reranked_search", "sparse_topk_mixed_filters", "dense_sparse_overlap", "rrf_fusion", "weight_sweep", "hybrid_search", "weighted_fusion"])
+def test_pairs_are_not_exchanged(spark, common_token, name):
+    """Of 4,000,000 pairs with a common token only the best rows of each task leave it."""
+    from filedeck.plans import catalog
+
+    assert 0 < exchanged(catalog.queries()[name](spark, common_token)) < 1_000_000
+
+
 def test_bm25(spark):
     import math
 
