@@ -25,8 +25,8 @@ RRF_K = 60
 DENSE_WEIGHT, SPARSE_WEIGHT = 0.7, 0.3
 POOL, TOP, CANDIDATES = 20, 5, 100
 K1, B, EPSILON = 1.5, 0.75, 0.25
-#: Vectors in one block of the dense search.
-ROWS, QUERIES = 4096, 512
+#: Rows of the corpus and queries in one block of the dense search, and queries multiplied at once.
+ROWS, QUERIES, DENSE_AT_ONCE = 4096, 2048, 512
 #: Rows of the corpus and queries in one block of the sparse search, and queries scored at once.
 SPARSE_ROWS, SPARSE_QUERIES, AT_ONCE = 4096, 4096, 256
 #: Queries whose lists one task holds: k places of two numbers each, and as many that wait to be merged.
@@ -116,26 +116,45 @@ def _each(batches, k: int, score):
 
 
 def _blocks(rows: int):
+    """Blocks of vectors as delivered: floats stay four bytes long on their way to every other block."""
+
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, rows):
                 b = whole.slice(at, rows)
-                flat = b.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                v = flat.reshape(b.num_rows, -1)
-                v = v / np.sqrt((v * v).sum(1))[:, None]
-                yield pa.RecordBatch.from_arrays([pa.array([b.column("id").to_numpy(zero_copy_only=False).astype(np.int64).tobytes()]), pa.array([v.tobytes()])], ["ids", "v"])
+                v = b.column("v").flatten().to_numpy(zero_copy_only=False)
+                v = v if v.dtype == np.float32 else v.astype(np.float64)
+                ids = b.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()]), pa.array([v.tobytes()]), pa.array([v.dtype.str])], ["ids", "v", "kind"])
 
-    return "ids binary, v binary", run
+    return "ids binary, v binary, kind string", run
 
 
-def _compare(k: int):
-    def score(q, c, _, best):
-        ids = np.frombuffer(c["ids"], np.int64)
-        s = np.frombuffer(q["v"]).reshape(len(best.query_ids), -1) @ np.frombuffer(c["v"]).reshape(len(ids), -1).T
-        i, j = np.nonzero(s >= best.floor(s, slice(None))[:, None])
-        best.add(i, ids[j], np.round(s[i, j], 6))
+def _unit(block: dict) -> np.ndarray:
+    """The vectors of a block at unit length."""
+    v = np.frombuffer(block["v"], block["kind"]).astype(np.float64).reshape(len(block["ids"]) // 8, -1)
+    return v / np.sqrt((v * v).sum(1))[:, None]
 
-    return lambda batches: _each(batches, k, score)
+
+def _compare(k: int):
+    def run(batches):
+        last = {}  # a block of the corpus meets the blocks of queries one after the other
+
+        def score(q, c, made, best):
+            if not made:
+                made["v"] = _unit(q)
+            if last.get("ids") != c["ids"]:
+                last.update(ids=c["ids"], v=_unit(c))
+            ids = np.frombuffer(c["ids"], np.int64)
+            for at in range(0, len(best.query_ids), DENSE_AT_ONCE):
+                queries = slice(at, min(at + DENSE_AT_ONCE, len(best.query_ids)))
+                s = made["v"][queries] @ last["v"].T
+                i, j = np.nonzero(s >= best.floor(s, queries)[:, None])
+                best.add(i + at, ids[j], np.round(s[i, j], 6))
+
+        yield from _each(batches, k, score)
+
+    return run
 
 
 def dense(queries: DataFrame, corpus: DataFrame, k: int = CANDIDATES) -> DataFrame:

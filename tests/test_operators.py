@@ -135,6 +135,24 @@ def test_dense(spark):
     assert [(round(s, 5), -i) for q, _, i, s in found if q == 0] == exact
 
 
+def test_vectors_travel_as_delivered(spark, monkeypatch):
+    """Floats of four bytes stay so in the blocks, and blocks of any size give the same lists."""
+    import pyarrow as pa
+
+    for kind, size in ((pa.float32(), 4), (pa.float64(), 8)):
+        batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([[3.0, 4.0], [1.0, 0.0], [0.0, 2.0]], pa.list_(kind))], ["id", "v"])
+        made = [b.to_pylist()[0] for b in search._blocks(2)[1]([batch])]
+        assert [len(b["v"]) for b in made] == [2 * 2 * size, 2 * size]
+        assert search._unit(made[0]).tolist() == [[0.6, 0.8], [1.0, 0.0]]
+    r = random.Random(5)
+    df = spark.createDataFrame([(i, [r.gauss(0, 1) for _ in range(6)]) for i in range(400)], "id bigint, embedding array<double>").repartition(3)
+    asked = df.filter("id % 3 = 0").select(F.col("id").alias("query_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    whole = rows(search.dense(asked, df, 9), "query_id", "rank", "id", "score")
+    for name, n in (("ROWS", 37), ("QUERIES", 50), ("DENSE_AT_ONCE", 16)):
+        monkeypatch.setattr(search, name, n)
+    assert rows(search.dense(asked, df, 9), "query_id", "rank", "id", "score") == whole and len(whole) == 134 * 9
+
+
 def test_sparse(spark):
     df = spark.createDataFrame([(1, "a", {"x": 1.0, "y": 0.2}), (2, "b", {"x": 0.5, "y": 1.0}), (3, "b", {"z": 1.0}), (4, "b", None)], "id bigint, c string, sparse map<string,double>")
     q = spark.createDataFrame([(9, "b", {"x": 1.0, "y": 1.0})], "query_id bigint, c string, sparse map<string,double>")
