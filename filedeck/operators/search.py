@@ -110,6 +110,8 @@ def _each(batches, k: int, score):
             score(q, c, *best[q["ids"]])
     for _, b in best.values():
         yield from b.rows()
+    best.clear()
+    pa.default_memory_pool().release_unused()  # the worker stays for later tasks
 
 
 # Dense
