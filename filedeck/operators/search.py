@@ -285,9 +285,13 @@ def sparse(queries: DataFrame, corpus: DataFrame, k: int = CANDIDATES, by: str |
 
 
 def _products(queries: DataFrame, corpus: DataFrame, *keep: str) -> DataFrame:
+    """Products are added up in the order of the row's own tokens, as in blocks: a sum hangs on its order where it ends in a half."""
     q = postings(queries.withColumnRenamed("query_id", "id"), *keep).select(*keep, "token", F.col("id").alias("query_id"), F.col("weight").alias("q"))
-    met = q.join(postings(corpus, *keep), ["token", *keep])
-    return met.groupBy("query_id", "id").agg(F.sum(F.col("q") * F.col("weight")).alias("score"))
+    c = corpus.filter("sparse is not null").select("id", *keep, F.posexplode("sparse").alias("place", "token", "weight"))
+    met = q.join(c, ["token", *keep]).select("query_id", "id", F.struct("place", (F.col("q") * F.col("weight")).alias("product")).alias("part"))
+    parts = met.groupBy("query_id", "id").agg(F.sort_array(F.collect_list("part")).alias("parts"))  # no more of them than the row has tokens
+    worth = F.filter(F.col("parts.product"), lambda x: x.isNotNull())
+    return parts.select("query_id", "id", F.when(F.size(worth) > 0, F.aggregate(worth, F.lit(0.0), lambda s, x: s + x)).alias("score"))
 
 
 # Words
