@@ -32,9 +32,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def joined(texts: list[str | None], nfkc: bool, lower: bool = True) -> np.ndarray:
     """Code points of all texts, each followed by 0; nulls count as empty, a 0 within a text becomes a blank."""
-    s = "\0".join("" if t is None else t.replace("\0", " ") for t in texts) + "\0"
-    if nfkc:
-        s = unicodedata.normalize("NFKC", s)
+    s = ["" if t is None else t.replace("\0", " ") for t in texts]
+    if nfkc:  # one by one: a text that is in this form already is only looked at
+        s = [unicodedata.normalize("NFKC", t) for t in s]
+    s = "\0".join(s) + "\0"
     if lower:
         s = s.lower()
     return np.frombuffer(s.encode("utf-32-le", "replace"), np.uint32)

@@ -768,3 +768,42 @@ def test_kneser_ney_sums_to_one():
         p = np.exp(m.score((np.uint64(context) << np.uint64(16)) | letters)[:, 0].astype(float))
         other = np.exp(m.score(np.array([(np.uint64(context) << np.uint64(16)) | np.uint64(0x3042)]))[0, 0].astype(float))
         assert abs(p.sum() + other * (languages.SYMBOLS - len(letters)) - 1) < 1e-3
+
+
+def test_texts_are_normalised_one_by_one(monkeypatch):
+    """A text that needs it does not have all others of its batch rewritten; code points are those of all texts at once."""
+    from filedeck.llm import codes
+
+    texts, seen, whole = ["가나" * 500, None, "ﬁ ＡΣ", "a\0b", "ΑΣ"], [], unicodedata.normalize
+    monkeypatch.setattr(codes.unicodedata, "normalize", lambda form, t: (seen.append(t), whole(form, t))[1])
+    found = codes.joined(texts, nfkc=True)
+    assert max(map(len, seen)) == 1000
+    assert "".join(map(chr, found)) == whole("NFKC", "".join((t or "").replace("\0", " ") + "\0" for t in texts)).lower()
+
+
+def test_sequences_by_label_and_part(monkeypatch):
+    """Counts of each label and part, whatever the slices; texts without letters have none."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(languages, "AT_ONCE", 40)
+    texts, label, fold = ["abc abd", "xyz xyz xyz", None, "abc", "12", "xyz yzx " * 9], ["b", "a", "a", "b", "a", "a"], [1, 0, 2, 1, 1, 2]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(label), pa.array(fold, pa.int32())], ["text", "label", "fold"])
+
+    def counted(votes, folds):
+        parts = list(languages._count(votes, ["a", "b"], folds)([batch, batch]))
+        return {(lang, f, int(np.int64(g).astype(np.uint64))): n for part in parts for lang, g, f, n in zip(*(c.to_pylist() for c in part.columns))}
+
+    def expected(of):
+        out = collections.Counter()
+        for t, lang, f in zip(texts, label, of):
+            for g in languages.Sentences([t]).grams.tolist():
+                out[lang, f, g] += 2
+        return dict(out)
+
+    under = counted(None, 1)
+    assert under == expected([0] * len(texts))
+    grams = {lang: tuple(map(np.array, zip(*sorted((g, n) for (x, _, g), n in under.items() if x == lang)))) for lang in "ab"}
+    votes = languages.Votes(["a", "b"], {lang: (k.astype(np.uint64), n.astype(float)) for lang, (k, n) in grams.items()})
+    assert counted(SimpleNamespace(value=votes), 3) == expected(fold)
